@@ -13,7 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text handled at once inside a Python worker (one longer text is handled alone).
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 #: Odd multipliers of the polynomial hashes; two independent ones give 128-bit identities.
 _MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -136,6 +136,19 @@ class RollingHash:
         return mixed((self.sums[width:] - self.sums[:n]) * self.inverse[:n] + np.uint64(width))
 
 
+def runs(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, ends) of the maximal runs of flagged bytes, cut at the borders of texts."""
+    n = len(inside)
+    opens, closes = inside.copy(), inside.copy()
+    if n:
+        opens[1:] &= ~inside[:-1]
+        closes[:-1] &= ~inside[1:]
+        begin, stop = offsets[:-1][offsets[:-1] < n], offsets[1:][offsets[1:] > 0] - 1
+        opens[begin] = inside[begin]
+        closes[stop] = inside[stop]
+    return np.flatnonzero(opens), np.flatnonzero(closes) + 1
+
+
 class Words:
     """The words (maximal runs of a byte class) of each text in a buffer; never across texts.
 
@@ -144,22 +157,12 @@ class Words:
     """
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, table: np.ndarray):
-        n, rows = len(data), len(offsets) - 1
+        rows = len(offsets) - 1
         self.data, self.offsets = data, offsets
-        inside = table[data]
-        opens, closes = inside.copy(), inside.copy()
-        if n:
-            opens[1:] &= ~inside[:-1]
-            closes[:-1] &= ~inside[1:]
-            begin, stop = offsets[:-1][offsets[:-1] < n], offsets[1:][offsets[1:] > 0] - 1
-            opens[begin] = inside[begin]
-            closes[stop] = inside[stop]
-        self.starts = np.flatnonzero(opens)
-        self.ends = np.flatnonzero(closes) + 1
-        self.row = np.searchsorted(offsets, self.starts, side="right") - 1
-        self.counts = np.bincount(self.row, minlength=rows).astype(np.int64)[:rows] if rows else np.zeros(0, dtype=np.int64)
-        self.first = np.zeros(rows + 1, dtype=np.int64)
-        np.cumsum(self.counts, out=self.first[1:])
+        self.starts, self.ends = runs(table[data], offsets)
+        self.first = np.searchsorted(self.starts, offsets)
+        self.counts = np.diff(self.first)
+        self.row = np.repeat(np.arange(rows), self.counts)
 
     def __len__(self) -> int:
         return len(self.starts)

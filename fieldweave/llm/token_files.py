@@ -33,9 +33,9 @@ from .storage import fresh_path, read_files, schema_with, write_blobs, written
 MAGIC = b"FWT1"
 END_ID = 2
 #: Documents of a block at most, and ids after which a block ends.
-BLOCK_ROWS, BLOCK_IDS = 4096, 1 << 19
+BLOCK_ROWS, BLOCK_IDS = 4096, 1 << 18
 #: Documents of a file at most.
-FILE_ROWS = 32_768
+FILE_ROWS = 8192
 _NULL = -(2**63)
 
 _LENGTHS = np.array([[(b >> (2 * k) & 3) + 1 for k in range(4)] for b in range(256)], dtype=np.int64)
@@ -203,7 +203,7 @@ def digests(docs: DataFrame, *, key: str = "doc_id", text: str = "text", tokeniz
     spark = docs.sparkSession
     out = fresh_path(spark, "token-files")
     write_token_files(docs, out, key=key, text=text, tokenizer=tokenizer)
-    light = read_token_files(spark, out).select("file", "at", "key", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    light = written(read_token_files(spark, out).select("file", "at", "key", "n_tokens", F.crc32("ids").alias("ids_crc32")), "token-digests")
     return with_starts(light).select(F.col("key").alias(key), "start", "n_tokens", "ids_crc32")
 
 

@@ -6,7 +6,7 @@ Parts made of ASCII and Latin letters below U+0250 are cut at those borders and
 lower-cased in ASCII (both leave the tokenizer's own result unchanged: such letters
 are fixed by its normaliser and no combining mark follows inside the part); any other
 stretch between ASCII white space goes to the tokenizer whole.  Distinct parts are
-found by two 64-bit hashes, encoded once and kept in a bounded per-worker cache.
+found by a 64-bit hash and a check sum, encoded once and kept in a bounded per-worker cache.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ import importlib
 import os
 
 import numpy as np
+import pandas as pd
 
 from . import columnar as C
 
@@ -28,6 +29,10 @@ _LETTER[0x41:0x5B] = _LETTER[0x61:0x7B] = True
 _LETTER[0x80:] = True
 _DIGIT = np.zeros(256, dtype=bool)
 _DIGIT[0x30:0x3A] = True
+#: 0: white space, 1: letters, 2: digits, 3: other signs.
+_KIND = np.where(_ASCII_SPACE, 0, np.where(_LETTER, 1, np.where(_DIGIT, 2, 3))).astype(np.int8)
+#: Summed over a part, a check beside its hash.
+_CHECK = C.mixed(np.arange(256, dtype=np.uint64) + np.uint64(77))[C.ASCII_LOWER]
 #: Bytes that make the stretch around them go to the tokenizer whole: apostrophes and lead bytes of U+0250 or above.
 _ODD = np.zeros(256, dtype=bool)
 _ODD[0x27] = True
@@ -63,35 +68,33 @@ class Encoder:
         self.start = np.zeros((1 << 16) + 1, dtype=np.int64)
         self.ids = np.zeros(1 << 18, dtype=np.int32)
 
-    def _parts(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(starts, ends, row, plain) of the parts; plain parts hold one run of letters."""
-        chunks = C.Words(data, offsets, C.VISIBLE)
-        n = len(data)
-        odd = _ODD[data]
-        mult = np.flatnonzero((data == 0xC3) | (data == 0xC2))
-        following = data[np.minimum(mult + 1, n - 1)]
-        odd[mult[(data[mult] == 0xC3) & ((following == 0x97) | (following == 0xB7))]] = True
-        reach = np.zeros(n + 1, dtype=np.int32)
-        np.cumsum(odd, out=reach[1:])
-        whole = reach[chunks.ends] > reach[chunks.starts]
-        kind = np.where(_LETTER[data], 1, np.where(_DIGIT[data], 2, 3)).astype(np.int8)
-        edge = np.zeros(n + 1, dtype=bool)
-        edge[1:n] = kind[1:] != kind[:-1]
-        in_whole = np.zeros(n + 1, dtype=np.int32)
-        np.add.at(in_whole, chunks.starts[whole], 1)
-        np.add.at(in_whole, chunks.ends[whole], -1)
-        edge &= np.cumsum(in_whole) == 0
-        edge[:n] &= C.VISIBLE[data]
-        edge[n] = False
-        edge[chunks.starts] = True
+    def _parts(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(starts, ends, plain) of the parts; plain parts hold one run of letters."""
+        opens, closes = C.runs(C.VISIBLE[data], offsets)
+        if not len(opens):
+            return opens, closes, np.zeros(0, dtype=bool)
+        odd = np.flatnonzero(_ODD[data])
+        signs = np.flatnonzero(data == 0xC3)  # the multiplication and division signs are no letters
+        following = data[np.minimum(signs + 1, len(data) - 1)]
+        odd = np.concatenate([odd, signs[(following == 0x97) | (following == 0xB7)]])
+        chunk_of_odd = np.searchsorted(opens, odd, side="right") - 1
+        whole = np.zeros(len(opens), dtype=bool)
+        whole[chunk_of_odd[(chunk_of_odd >= 0) & (odd < closes[chunk_of_odd])]] = True
+        kind = _KIND[data]
+        edge = np.zeros(len(data), dtype=bool)
+        edge[1:] = kind[1:] != kind[:-1]
+        edge &= kind > 0
+        edge[opens] = True
         starts = np.flatnonzero(edge)
-        row = np.searchsorted(offsets, starts, side="right") - 1
-        chunk = np.searchsorted(chunks.starts, starts, side="right") - 1
-        ends = chunks.ends[chunk].copy()
-        if len(starts):
-            ends[:-1] = np.minimum(ends[:-1], starts[1:])
-        plain = (kind[starts] == 1) & ~whole[chunk]
-        return starts, ends, row, plain
+        first = np.zeros(len(data), dtype=bool)
+        first[opens] = True
+        chunk = np.cumsum(first[starts]) - 1
+        if whole.any():
+            keep = ~whole[chunk] | first[starts]
+            starts, chunk = starts[keep], chunk[keep]
+        ends = closes[chunk]
+        ends[:-1] = np.minimum(ends[:-1], starts[1:])
+        return starts, ends, (kind[starts] == 1) & ~whole[chunk]
 
     def _learn(self, words: list[bytes], plain: np.ndarray, first: np.ndarray, second: np.ndarray) -> np.ndarray:
         """Encode new distinct parts and add them to the cache; returns each one's place there."""
@@ -131,19 +134,21 @@ class Encoder:
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets of each text's ids) of the texts in a buffer."""
         rows = len(offsets) - 1
-        starts, ends, row, plain = self._parts(data, offsets) if len(data) else (np.zeros(0, np.int64),) * 3 + (np.zeros(0, bool),)
-        out = np.zeros(rows + 1, dtype=np.int64)
+        starts, ends, plain = self._parts(data, offsets)
         if not len(starts):
-            return np.zeros(0, dtype=np.int32), out
-        whole = np.bincount(row, minlength=rows)
+            return np.zeros(0, dtype=np.int32), np.zeros(rows + 1, dtype=np.int64)
         first = C.RollingHash.of_bytes(data, 0, True).spans(starts, ends)
-        second = C.RollingHash.of_bytes(data, 1, True).spans(starts, ends)
+        sums = np.zeros(len(data) + 1, dtype=np.uint64)
+        np.cumsum(_CHECK[data], out=sums[1:])
+        second = sums[ends] - sums[starts]
         # Parts that the tokenizer gets whole keep their case apart.
         cased = ~plain
         if cased.any():
             tag = C.RollingHash.of_bytes(data, 0).spans(starts[cased], ends[cased])
             first[cased] = C.mixed(first[cased] + C.mixed(tag) * np.uint64(3))
-        distinct, at, back = np.unique(first, return_index=True, return_inverse=True)
+        back, distinct = pd.factorize(first)
+        at = np.empty(len(distinct), dtype=np.int64)
+        at[back[::-1]] = np.arange(len(back) - 1, -1, -1)
         if (second[at][back] != second).any():
             return self._plainly(data, offsets)
         if len(self.known) + len(distinct) > CACHE_PARTS:
@@ -162,9 +167,7 @@ class Encoder:
         total = np.zeros(len(length) + 1, dtype=np.int64)
         np.cumsum(length, out=total[1:])
         gather = np.arange(total[-1]) + np.repeat(begin - total[:-1], length)
-        parts = np.zeros(rows + 1, dtype=np.int64)
-        np.cumsum(whole, out=parts[1:])
-        return self.ids[gather], total[parts]
+        return self.ids[gather], total[np.searchsorted(starts, offsets)]
 
     def _plainly(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Without the cache, should two parts ever share a hash."""
