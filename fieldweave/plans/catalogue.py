@@ -2,5 +2,10 @@
 
 from __future__ import annotations
 
+from . import queries_graph, queries_scores, queries_text
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+for _module in (queries_scores, queries_text, queries_graph):
+    QUERIES |= _module.QUERIES
+    ORACLES |= _module.ORACLES
