@@ -7,7 +7,7 @@ of the corpus, overlaps and the same document included.
    grams; equal windows have equal names.  Consecutive windows of one name make a
    fragment, so each window lies in exactly one fragment.
 2. Fragments with equal bytes (128 bits of hash) repeat as a whole.  One of each stays
-   for step 3, and only where its name has other fragments.
+   for step 3, and only where its name has other fragments or its own windows can be equal.
 3. Fragments are dealt by name into blocks of about ``BLOCK_BYTES``.  A run-length index
    of each block (see ``run_index``) is streamed for matching statistics, and windows
    with a match of ``WIDTH`` or more are marked.
@@ -57,11 +57,17 @@ def sliding_minimum(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def fragments(data: np.ndarray, offsets: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, ...]:
-    """(row, name, identity, first window, windows) of the fragments of each text."""
-    none = (np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+    """(row, name, identity, first window, windows, inner) of the fragments of each text.
+
+    inner: the gram that names the fragment stands in it twice or more, without which no
+    two of its own windows can be equal.
+    """
+    none = (np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool))
     if len(data) < width:
         return none
-    names = sliding_minimum(C.RollingHash.of_bytes(data).windows(gram), width - gram + 1)
+    grams = C.RollingHash.of_bytes(data).windows(gram)
+    reach = width - gram + 1
+    names = sliding_minimum(grams, reach)
     sizes = np.diff(offsets)
     row = np.repeat(np.arange(len(sizes)), np.maximum(sizes - width + 1, 0))
     if not len(row):
@@ -78,7 +84,15 @@ def fragments(data: np.ndarray, offsets: np.ndarray, width: int, gram: int) -> t
     count = np.diff(at, append=len(row))
     start = offsets[row[at]] + inside[at]
     identity = C.RollingHash.of_bytes(data, 1).spans(start, start + count + width - 1)
-    return row[at], name[at], identity, inside[at], count
+    # A gram is the smallest of a window if it equals the largest name of the windows around it.
+    around = np.concatenate([np.zeros(reach - 1, np.uint64), names, np.zeros(reach - 1, np.uint64)])
+    smallest = np.flatnonzero(~sliding_minimum(~around, reach) == grams)
+    low, high = np.searchsorted(smallest, start), np.searchsorted(smallest, start + count + reach - 1)
+    size = high - low
+    which = np.repeat(np.arange(len(at)), size)
+    places = smallest[np.arange(len(which)) - np.repeat(np.cumsum(size) - size, size) + low[which]]
+    inner = np.bincount(which[grams[places] == name[at][which]], minlength=len(at)) > 1
+    return row[at], name[at], identity, inside[at], count, inner
 
 
 def _keyed(docs: DataFrame, key: str, text: str, k: str = "k", c: str = "c") -> DataFrame:
@@ -87,24 +101,25 @@ def _keyed(docs: DataFrame, key: str, text: str, k: str = "k", c: str = "c") ->
 
 
 def _repeats(rows: DataFrame, text: str, width: int, gram: int) -> DataFrame:
-    """Fragments whose name stands twice or more: k, c, lo, n, h, whole (its bytes repeat), first (of its bytes), kinds (different fragments of the name)."""
+    """Fragments whose windows may repeat: k, c, lo, n, h, whole (its bytes repeat), indexed (one of each bytes, where windows may repeat), kinds (different fragments of the name)."""
 
     def run(batches):
         for batch in C.slices(batches, text):
             data, offsets = C.text_buffer(batch.column(batch.schema.get_field_index(text)))
-            row, name, identity, lo, n = fragments(data, offsets, width, gram)
+            row, name, identity, lo, n, inner = fragments(data, offsets, width, gram)
             row = pa.array(row)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(batch.schema.get_field_index("k")).take(row), batch.column(batch.schema.get_field_index("c")).take(row), pa.array(lo.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(name.view(np.int64)), pa.array(identity.view(np.int64))],
-                names=["k", "c", "lo", "n", "h", "f"],
+                [batch.column(batch.schema.get_field_index("k")).take(row), batch.column(batch.schema.get_field_index("c")).take(row), pa.array(lo.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(name.view(np.int64)), pa.array(identity.view(np.int64)), pa.array(inner)],
+                names=["k", "c", "lo", "n", "h", "f", "inner"],
             )
 
-    found = rows.select("k", "c", text).mapInArrow(run, "k long, c long, lo int, n int, h long, f long").repartition("h")
+    found = rows.select("k", "c", text).mapInArrow(run, "k long, c long, lo int, n int, h long, f long, inner boolean").repartition("h")
     same = Window.partitionBy("h", "f")
     found = found.withColumn("rn", F.row_number().over(same.orderBy("k", "c", "lo"))).withColumn("copies", F.count("*").over(same))
     named = Window.partitionBy("h")
     found = found.withColumn("kinds", F.sum((F.col("rn") == 1).cast("int")).over(named))
-    return found.where("copies > 1 or kinds > 1").select("k", "c", "lo", "n", "h", (F.col("copies") > 1).alias("whole"), (F.col("rn") == 1).alias("first"), "kinds")
+    indexed = (F.col("rn") == 1) & ((F.col("kinds") > 1) | F.col("inner"))
+    return found.where("copies > 1 or kinds > 1 or inner").select("k", "c", "lo", "n", "h", (F.col("copies") > 1).alias("whole"), indexed.alias("indexed"), "kinds")
 
 
 _CUT = "k long, c long, lo int, mark boolean, h long, shard long, fragment binary"
@@ -190,7 +205,7 @@ def repeated_spans(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     rows = _keyed(docs.select(F.col(key).alias("__id"), F.col(text).alias("__text")), "__id", "__text")
     text = "__text"
     repeats = written(_repeats(rows, text, width, gram), "repeats")
-    indexed = repeats.where("first and kinds > 1")
+    indexed = repeats.where("indexed")
     size = indexed.agg(F.sum(F.when(F.col("kinds") <= hot, F.col("n") + (width - 1))).alias("bytes"), F.count(F.when(F.col("kinds") > hot, 1)).alias("hot")).first()
     spans = repeats.where("whole").select("k", "c", F.col("lo").alias("start"), (F.col("lo") + F.col("n") + (width - 1)).alias("end"))
     if size["bytes"]:
