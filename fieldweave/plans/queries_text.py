@@ -185,13 +185,13 @@ def header_simplify(spark, sf_dir):
 _LETTERS = r"[\p{L}\p{N}_]"
 
 
-def _tfidf_sql(cls: str, first: str, rest: str, least: int, stop: list[str], ngram: int, min_df: str, top: int, tail: str) -> str:
+def _tfidf_sql(cls: str, first: str, rest: str, least: int, also: str, stop: list[str], ngram: int, min_df: str, top: int, tail: str) -> str:
     words = "', '".join(w.replace("'", "''") for w in stop)
-    grams = " UNION ALL ".join(f"SELECT class, array_to_string(ts[i:i + {n - 1}], ' ') AS term FROM idx WHERE i + {n - 1} <= len(ts)" for n in range(1, ngram + 1))
+    ahead = lambda n: " || ' ' || ".join(["t", *[f"lead(t, {j}) OVER w" for j in range(1, n)]])
+    grams = " UNION ALL ".join(f"SELECT class, {ahead(n)} AS term FROM toks" + (" WINDOW w AS (PARTITION BY class ORDER BY doc_id, i)" if n > 1 else "") for n in range(1, ngram + 1))
     return f"""WITH raw AS (SELECT {cls} AS class, doc_id, unnest(regexp_extract_all(lower(text), '{first}{rest}')) AS t, unnest(range(len(regexp_extract_all(lower(text), '{first}{rest}')))) AS i FROM documents WHERE text IS NOT NULL),
-toks AS (SELECT class, list(t ORDER BY doc_id, i) AS ts FROM raw WHERE length(t) >= {least} AND t NOT IN ('{words}') GROUP BY class),
-idx AS (SELECT class, ts, unnest(range(1, len(ts) + 1)) AS i FROM toks),
-n AS (SELECT class, term, count(*) AS n FROM ({grams}) AS g GROUP BY class, term),
+toks AS (SELECT class, doc_id, i, t FROM raw WHERE {also}length(t) >= {least} AND t NOT IN ('{words}')),
+n AS (SELECT class, term, count(*) AS n FROM ({grams}) AS g WHERE term IS NOT NULL GROUP BY class, term),
 k AS (SELECT count(DISTINCT {cls}) AS k FROM documents),
 df AS (SELECT term, count(*) AS df FROM n GROUP BY term HAVING count(*) >= {min_df}),
 tf AS (SELECT class, term, n / sum(n) OVER (PARTITION BY class) AS tf FROM n JOIN df USING (term)),
@@ -209,17 +209,17 @@ def _shown(terms):
     return terms.select("class", "term", F.round("score", 6).alias("score"), "rank")
 
 
-@query(_tfidf_sql("source", _LETTERS, _LETTERS + "+", 2, [""], 3, "5", 10, _SHOW))
+@query(_tfidf_sql("source", _LETTERS, _LETTERS + "+", 2, "", [""], 3, "5", 10, _SHOW))
 def ctfidf_base(spark, sf_dir):
     return _shown(ctfidf.class_tfidf(table(spark, sf_dir, "documents"), cls="source", text="text"))
 
 
-@query(_tfidf_sql("source", r"[\p{L}\p{N}_][\p{L}\p{N}_\-]*[\p{L}\p{N}_]", "", 3, stopwords.union(), 3, "5", 10, _SHOW))
+@query(_tfidf_sql("source", r"[\p{L}\p{N}_][\p{L}\p{N}_\-]*[\p{L}\p{N}_]", "", 3, "regexp_matches(t, '^\\p{L}') AND ", stopwords.union(), 3, "5", 10, _SHOW))
 def ctfidf_stop(spark, sf_dir):
     return _shown(ctfidf.class_tfidf(table(spark, sf_dir, "documents"), cls="source", text="text", pattern=ctfidf.PATTERN_ANCHOR, stop=stopwords.union()))
 
 
-@query(_tfidf_sql("lang", _LETTERS, _LETTERS + "+", 2, stopwords.union(domain=stopwords.DOMAIN_BASED), 3, "least(5, (SELECT k FROM k))", 12, _SHOW))
+@query(_tfidf_sql("lang", _LETTERS, _LETTERS + "+", 2, "", stopwords.union(domain=stopwords.DOMAIN_BASED), 3, "least(5, (SELECT k FROM k))", 12, _SHOW))
 def ctfidf_capped(spark, sf_dir):
     return _shown(ctfidf.class_tfidf(table(spark, sf_dir, "documents"), cls="lang", text="text", stop=stopwords.union(domain=stopwords.DOMAIN_BASED), top_k=12, k_policy="non_empty", cap_min_df=True))
 
@@ -227,7 +227,7 @@ def ctfidf_capped(spark, sf_dir):
 _REFINER = stopwords.union(extra=",".join(stopwords.REFINER_EXTRA), domain=[])
 
 
-@query(_tfidf_sql("source", _LETTERS, _LETTERS + "+", 2, _REFINER, 1, "3", 20, _SHOW))
+@query(_tfidf_sql("source", _LETTERS, _LETTERS + "+", 2, "", _REFINER, 1, "3", 20, _SHOW))
 def ctfidf_unigram(spark, sf_dir):
     return _shown(ctfidf.class_tfidf(table(spark, sf_dir, "documents"), cls="source", text="text", stop=_REFINER, ngram_max=1, min_df=3, top_k=20))
 
@@ -242,7 +242,7 @@ _TOPIC = ", t AS (SELECT class, string_agg(term, '; ' ORDER BY rank) AS top_term
 
 
 def _with(sql: str) -> str:
-    return _tfidf_sql("source", _LETTERS, _LETTERS + "+", 2, _REFINER, 1, "3", 20, "SELECT 1").removesuffix("\nSELECT 1") + sql
+    return _tfidf_sql("source", _LETTERS, _LETTERS + "+", 2, "", _REFINER, 1, "3", 20, "SELECT 1").removesuffix("\nSELECT 1") + sql
 
 
 @query(_with(_TOPIC + "SELECT class, n_docs, coalesce(top_terms, '') AS top_terms FROM d LEFT JOIN t USING (class)"))
