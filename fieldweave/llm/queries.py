@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import archives, decontaminate, kd_shards, licenses, near_dedup, packing, quality, suffix_dedup, token_files, url_filters
+from .oracles import ORACLES
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -88,3 +89,5 @@ QUERIES = {
     "op9_url_lists": op9_url_lists,
     "op10_minhash": op10_minhash,
 }
+
+__all__ = ["ORACLES", "QUERIES"]
