@@ -6,6 +6,8 @@ Python object is made per word.  Null texts count as empty texts.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text handled at once inside a Python worker (one longer text is handled alone).
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 
 #: Odd multipliers of the polynomial hashes; two independent ones give 128-bit identities.
 _MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -62,6 +64,16 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
+def release() -> None:
+    """Give freed memory back to the system: Spark keeps Python workers, and executors' memory is shared with them."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that each piece holds about ``most`` bytes of text, whole rows only."""
     for batch in batches:
@@ -74,6 +86,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYT
             end = min(max(end, at + 1), batch.num_rows)
             yield batch.slice(at, end - at)
             at = end
+    release()
 
 
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}

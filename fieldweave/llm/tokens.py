@@ -60,9 +60,10 @@ class Encoder:
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
         for token, i in self.tokenizer.get_vocab().items():
             self.ends[i] = token.endswith("</w>")
-        self._clear()
+        self.forget()
 
-    def _clear(self) -> None:
+    def forget(self) -> None:
+        """Empty the cache of parts."""
         self.known: dict[int, int] = {}
         self.second = np.zeros(1 << 16, dtype=np.uint64)
         self.start = np.zeros((1 << 16) + 1, dtype=np.int64)
@@ -152,7 +153,7 @@ class Encoder:
         if (second[at][back] != second).any():
             return self._plainly(data, offsets)
         if len(self.known) + len(distinct) > CACHE_PARTS:
-            self._clear()
+            self.forget()
         known = self.known
         index = np.array([known.get(h, -1) for h in distinct.tolist()], dtype=np.int64)
         new = np.flatnonzero(index < 0)
