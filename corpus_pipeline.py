@@ -7,6 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from fieldweave.llm import decontaminate, near_dedup, packing, quality, suffix_dedup
 from fieldweave.llm.storage import fresh_path
 
+#: Words of a shingle in the near-dedup stage.
+SHINGLE = 5
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go."""
@@ -14,8 +17,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays."""
-    return near_dedup.keep_first(docs)
+    """One document of each near-duplicate group stays: 0.8 of the five-word shingles."""
+    return near_dedup.keep_first(docs, shingle=SHINGLE)
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,6 +1,6 @@
 """MinHash near-duplicate groups with sequential Bayesian verification.
 
-1. A document's set: hashes of its distinct ``SHINGLE``-word shingles.  Documents with
+1. A document's set: hashes of its distinct shingles of ``shingle`` words.  Documents with
    equal sets collapse to one class.
 2. ``HASHES`` minima make a signature; ``BANDS`` bands of ``ROWS`` minima are the LSH keys.
    A pair of similarity 0.8 misses every band with probability (1 - 0.8**5)**40 < 2e-7.
@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from . import columnar as C
 from .storage import written
 
+#: Words of a shingle unless given.
 SHINGLE = 4
 THRESHOLD = (80, 100)
 ROWS, BANDS = 5, 40
@@ -126,13 +127,13 @@ def survive(a: np.ndarray, b: np.ndarray, needed: list[tuple[int, int]]) -> tupl
     return alive, matches[alive]
 
 
-def _signed(docs: DataFrame) -> DataFrame:
+def _signed(docs: DataFrame, shingle: int) -> DataFrame:
     """k, c, n (set size), digest of the set, sig (binary, 16 bits a minimum) of rows (k, c, text)."""
 
     def run(batches):
         step = 2 * HASHES
         for batch in C.slices(batches, "text"):
-            sets, at = shingle_sets(*C.text_buffer(batch.column(2)))
+            sets, at = shingle_sets(*C.text_buffer(batch.column(2)), shingle)
             raw = sets.tobytes()
             digest = [hashlib.blake2b(raw[8 * a : 8 * b], digest_size=16).digest() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
             small = signatures(sets, at).astype("<u2").tobytes()
@@ -287,7 +288,7 @@ def components(links: DataFrame, *, name: str = "components") -> DataFrame:
             return labels.withColumnRenamed("label", "component")
 
 
-def _verified(clusters: DataFrame, rows: DataFrame, needed: list[tuple[int, int]], members: int) -> DataFrame:
+def _verified(clusters: DataFrame, rows: DataFrame, needed: list[tuple[int, int]], members: int, shingle: int) -> DataFrame:
     """Exact links (a, b) inside clusters (node, component, k, c); rows: k, c, text of the documents."""
     sizes = clusters.groupBy("component").agg(F.count("*").alias("size"))
     total = clusters.count()
@@ -300,7 +301,7 @@ def _verified(clusters: DataFrame, rows: DataFrame, needed: list[tuple[int, int]
         texts, nodes, sides = table.column("text").combine_chunks(), table.column("node").to_numpy(), table.column("side").to_numpy()
         for rows, whole in _groups(table, "component"):
             rows = rows[np.unique(nodes[rows], return_index=True)[1]]  # equal rows of one document are one
-            sets, at = shingle_sets(*C.text_buffer(texts.take(pa.array(rows))))
+            sets, at = shingle_sets(*C.text_buffer(texts.take(pa.array(rows))), shingle)
             sig, size, node, side = signatures(sets, at).astype("<u2"), np.diff(at), nodes[rows], sides[rows]
             left = np.arange(len(rows)) if whole else np.flatnonzero(side == 0)
             right = np.arange(len(rows)) if whole else np.flatnonzero(side == 1)
@@ -327,12 +328,12 @@ def _verified(clusters: DataFrame, rows: DataFrame, needed: list[tuple[int, int]
     return dealt.select("task", "component", "i", "j", "side", "node", "text").groupBy("task").applyInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", members: int = MEMBERS) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", members: int = MEMBERS, shingle: int = SHINGLE) -> DataFrame:
     """key, n_shingles, component_id, kept of every row."""
     kind = dict(docs.dtypes)[key]
     rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(_NULL)).alias("k"), F.crc32(F.coalesce(F.col(text).cast("binary"), F.lit(b""))).alias("c"), F.col(text).alias("text"))
     needed = needed_matches()
-    signed = written(_signed(rows), "signatures")
+    signed = written(_signed(rows, shingle), "signatures")
     classes = signed.where("n > 0").groupBy("digest").agg(F.min(F.struct("k", "c")).alias("rep"), F.first("sig").alias("sig"))
     classes = written(classes.select(F.monotonically_increasing_id().alias("node"), "digest", F.col("rep.k").alias("k"), F.col("rep.c").alias("c"), "sig"), "classes")
     sigs = classes.select("node", "sig")
@@ -342,7 +343,7 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     like = written(_star(stars.select("x", "lead").distinct(), sigs, needed), "star-pairs")
     links = like.where("like").select(F.col("x").alias("a"), F.col("lead").alias("b")).unionByName(_rest(stars.join(like, ["x", "lead"]), sigs, needed, members))
     clusters = components(links, name="clusters").join(classes.select("node", "k", "c"), "node")
-    groups = components(_verified(written(clusters, "cluster-members"), rows, needed, members), name="groups")
+    groups = components(_verified(written(clusters, "cluster-members"), rows, needed, members, shingle), name="groups")
     # A group goes by its smallest key; a class without links is a group of its own.
     named = classes.select("node", "digest", "k").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
     names = named.groupBy("component").agg(F.min("k").alias("component_id"))
@@ -352,8 +353,8 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     return out.select(F.when(F.col("k") != _NULL, F.col("k")).cast(kind).alias(key), "n_shingles", F.when(F.col("component_id") != _NULL, F.col("component_id")).alias("component_id"), (F.col("k") == F.col("component_id")).alias("kept"))
 
 
-def keep_first(docs: DataFrame, *, key: str = "doc_id", text: str = "text", members: int = MEMBERS) -> DataFrame:
+def keep_first(docs: DataFrame, *, key: str = "doc_id", text: str = "text", members: int = MEMBERS, shingle: int = SHINGLE) -> DataFrame:
     """One document of each group, with all its columns: the one of the smallest key (equal rows of it once)."""
-    kept = near_duplicates(docs, key=key, text=text, members=members).where("kept").select(F.coalesce(F.col(key).cast("long"), F.lit(_NULL)).alias("__k")).distinct()
+    kept = near_duplicates(docs, key=key, text=text, members=members, shingle=shingle).where("kept").select(F.coalesce(F.col(key).cast("long"), F.lit(_NULL)).alias("__k")).distinct()
     rows = docs.withColumn("__k", F.coalesce(F.col(key).cast("long"), F.lit(_NULL))).join(kept.hint("shuffle_hash"), "__k", "left_semi")
     return rows.dropDuplicates(["__k"]).select(*docs.columns)

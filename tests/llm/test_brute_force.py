@@ -338,3 +338,20 @@ def test_needed_matches_never_drop_at_threshold():
         agree = rng.random(near_dedup.HASHES) < 0.8
         lost += any(agree[:n].sum() < low for n, low in needed)
     assert lost <= 2
+
+
+def test_near_dedup_shingle_width(spark, tmp_path):
+    import corpus_pipeline
+    from fieldweave.llm import queries
+
+    base = [f"w{i}" for i in range(150)]
+    far = list(base)
+    for i in (30, 60, 90, 120):  # similarity 131 / 163 with four words, 126 / 166 with five
+        far[i] = f"n{i}"
+    df = spark.createDataFrame([(1, " ".join(base)), (2, " ".join(far)), (3, " ".join([*base, "z"]))], "doc_id long, text string")
+    kept = lambda d: sorted(r["doc_id"] for r in d.collect())
+    assert [kept(near_dedup.near_duplicates(df, shingle=n).where("kept")) for n in (4, 5)] == [[1], [1, 2]]
+    assert [kept(near_dedup.keep_first(df, shingle=n)) for n in (4, 5)] == [[1], [1, 2]]
+    assert kept(corpus_pipeline.minhash_dedup(spark, df, "")) == [1, 2]
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    assert kept(queries.op10_minhash(spark, str(tmp_path)).where("kept")) == [1]
