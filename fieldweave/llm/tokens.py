@@ -5,7 +5,8 @@ signs before its merges, so the ids of a text are those of its parts in order.
 Parts made of ASCII and Latin letters below U+0250 are cut at those borders and
 lower-cased in ASCII (both leave the tokenizer's own result unchanged: such letters
 are fixed by its normaliser and no combining mark follows inside the part); any other
-stretch between ASCII white space goes to the tokenizer whole.  Distinct parts are
+stretch between ASCII white space goes to the tokenizer whole, and so does one that
+holds a special token of the file, which is one id wherever it stands.  Distinct parts are
 found by a 64-bit hash and a check sum, encoded once and kept in a bounded per-worker cache.
 """
 
@@ -48,15 +49,29 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return name if os.sep in name else importlib.import_module("public_tokenizers").path(name)
 
 
+def _found(data: np.ndarray, sign: bytes) -> np.ndarray:
+    """Places where a byte string stands."""
+    at = np.flatnonzero(data[: max(len(data) - len(sign) + 1, 0)] == sign[0])
+    for j in range(1, len(sign)):
+        if not len(at):
+            break
+        at = at[data[at + j] == sign[j]]
+    return at
+
+
 class Encoder:
-    """Ids of whole texts; equal to ``encode(text, add_special_tokens=False).ids`` of the tokenizers library."""
+    """Ids of whole texts; with ``specials`` equal to ``encode(text, add_special_tokens=False).ids`` of the tokenizers library.
+
+    Without, special tokens that a text spells out are plain signs (``encode_special_tokens``).
+    """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, specials: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not specials
+        self.specials = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()] if specials else []
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
         for token, i in self.tokenizer.get_vocab().items():
             self.ends[i] = token.endswith("</w>")
@@ -78,6 +93,7 @@ class Encoder:
         signs = np.flatnonzero(data == 0xC3)  # the multiplication and division signs are no letters
         following = data[np.minimum(signs + 1, len(data) - 1)]
         odd = np.concatenate([odd, signs[(following == 0x97) | (following == 0xB7)]])
+        odd = np.concatenate([odd, *[_found(data, s) for s in self.specials]])
         chunk_of_odd = np.searchsorted(opens, odd, side="right") - 1
         whole = np.zeros(len(opens), dtype=bool)
         whole[chunk_of_odd[(chunk_of_odd >= 0) & (odd < closes[chunk_of_odd])]] = True
@@ -182,7 +198,7 @@ _encoders: dict[str, Encoder] = {}
 
 
 def encoder(path: str) -> Encoder:
-    """The worker's encoder of a file, made once."""
+    """The worker's encoder of a file, made once; special tokens in a text are one id each."""
     if path not in _encoders:
-        _encoders[path] = Encoder(path)
+        _encoders[path] = Encoder(path, specials=True)
     return _encoders[path]

@@ -355,3 +355,24 @@ def test_near_dedup_shingle_width(spark, tmp_path):
     assert kept(corpus_pipeline.minhash_dedup(spark, df, "")) == [1, 2]
     df.write.parquet(f"{tmp_path}/documents.parquet")
     assert kept(queries.op10_minhash(spark, str(tmp_path)).where("kept")) == [1]
+
+
+def test_special_tokens_are_one_id(spark):
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(tokens.tokenizer_path())
+    ids = lambda t: plain.encode(t or "", add_special_tokens=False).ids
+    assert ids("a <|endoftext|> b") == [320, 49407, 321]
+    odd = ["a <|endoftext|> b", "a<|endoftext|>b", "<|startoftext|>x <|startoftext|>", "<|ENDOFTEXT|> <|endoftext| > <|endoftext|", "It's<|endoftext|>\u0301É", "<|endoftext|><|startoftext|>", "<|endof", "text|>", "12<|endoftext|>.\n#<|endoftext|>", "\xa0<|endoftext|>\u3000", *texts()]
+    e = tokens.encoder(tokens.tokenizer_path())
+    for _ in range(2):
+        got, at = e.encode(*columnar.text_buffer(pa.array(odd)))
+        assert [got[a:b].tolist() for a, b in zip(at, at[1:])] == [ids(t) for t in odd]
+    df = spark.createDataFrame([(i, t, "a") for i, t in enumerate(odd)], "doc_id long, text string, source string")
+    start = np.cumsum([0, *[len(ids(t)) + 1 for t in odd]]).tolist()
+    want = [(i, start[i], len(ids(t)) + 1, zlib.crc32(np.array([*ids(t), 2], "<u4").tobytes())) for i, t in enumerate(odd)]
+    assert sorted((r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) for r in token_files.digests(df).collect()) == want
+    for r in packing.pack(df, width=64).collect():
+        whole = [*ids(odd[r["doc_id"]]), 1]
+        assert (r["doc_tokens"], r["ids_crc32"]) == (len(whole), zlib.crc32(np.array(whole[r["start"] : r["start"] + r["length"]], "<u4").tobytes()))
