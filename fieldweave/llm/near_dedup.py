@@ -328,10 +328,14 @@ def _verified(clusters: DataFrame, rows: DataFrame, needed: list[tuple[int, int]
     return dealt.select("task", "component", "i", "j", "side", "node", "text").groupBy("task").applyInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", members: int = MEMBERS, shingle: int = SHINGLE) -> DataFrame:
-    """key, n_shingles, component_id, kept of every row."""
-    kind = dict(docs.dtypes)[key]
-    rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(_NULL)).alias("k"), F.crc32(F.coalesce(F.col(text).cast("binary"), F.lit(b""))).alias("c"), F.col(text).alias("text"))
+def _document(key: str, text: str) -> list:
+    """k and c, which name a document: its key (a null one as the smallest integer) and a digest of its text."""
+    return [F.coalesce(F.col(key).cast("long"), F.lit(_NULL)).alias("k"), F.xxhash64(F.coalesce(F.col(text).cast("binary"), F.lit(b""))).alias("c")]
+
+
+def _grouped(docs: DataFrame, key: str, text: str, members: int, shingle: int) -> tuple[DataFrame, DataFrame]:
+    """(k, c, n, digest of every row; digest, k, c, component of every class, k and c being its smallest document)."""
+    rows = docs.select(*_document(key, text), F.col(text).alias("text"))
     needed = needed_matches()
     signed = written(_signed(rows, shingle), "signatures")
     classes = signed.where("n > 0").groupBy("digest").agg(F.min(F.struct("k", "c")).alias("rep"), F.first("sig").alias("sig"))
@@ -344,8 +348,15 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     links = like.where("like").select(F.col("x").alias("a"), F.col("lead").alias("b")).unionByName(_rest(stars.join(like, ["x", "lead"]), sigs, needed, members))
     clusters = components(links, name="clusters").join(classes.select("node", "k", "c"), "node")
     groups = components(_verified(written(clusters, "cluster-members"), rows, needed, members, shingle), name="groups")
-    # A group goes by its smallest key; a class without links is a group of its own.
-    named = classes.select("node", "digest", "k").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    # A class without links is a group of its own.
+    named = classes.select("node", "digest", "k", "c").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    return signed.select("k", "c", "n", "digest"), named
+
+
+def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", members: int = MEMBERS, shingle: int = SHINGLE) -> DataFrame:
+    """key, n_shingles, component_id, kept of every row; a group goes by its smallest key, which kept compares with the row's."""
+    kind = dict(docs.dtypes)[key]
+    signed, named = _grouped(docs, key, text, members, shingle)
     names = named.groupBy("component").agg(F.min("k").alias("component_id"))
     by_digest = named.join(names, "component").select("digest", "component_id")
     out = signed.select("k", "n", F.when(F.col("n") > 0, F.col("digest")).alias("digest")).join(by_digest, "digest", "left")
@@ -354,7 +365,15 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
 
 
 def keep_first(docs: DataFrame, *, key: str = "doc_id", text: str = "text", members: int = MEMBERS, shingle: int = SHINGLE) -> DataFrame:
-    """One document of each group, with all its columns: the one of the smallest key (equal rows of it once)."""
-    kept = near_duplicates(docs, key=key, text=text, members=members, shingle=shingle).where("kept").select(F.coalesce(F.col(key).cast("long"), F.lit(_NULL)).alias("__k")).distinct()
-    rows = docs.withColumn("__k", F.coalesce(F.col(key).cast("long"), F.lit(_NULL))).join(kept.hint("shuffle_hash"), "__k", "left_semi")
-    return rows.dropDuplicates(["__k"]).select(*docs.columns)
+    """One document of each group, with all its columns: the one of the smallest key and, under that key, the smallest text digest.
+
+    Rows count by key and text: unlike texts under one key or none are documents of their own, rows equal
+    in both are one.  A text without words is kept once for each key, and in every row without a key.
+    """
+    signed, named = _grouped(docs, key, text, members, shingle)
+    first = named.groupBy("component").agg(F.min(F.struct("k", "c")).alias("rep")).select("rep.k", "rep.c")
+    kept = first.unionByName(signed.where("n = 0").select("k", "c").distinct()).select(F.col("k").alias("__k"), F.col("c").alias("__c"))
+    rows = docs.select("*", *[d.alias(n) for d, n in zip(_document(key, text), ("__k", "__c"), strict=True)]).join(kept.hint("shuffle_hash"), ["__k", "__c"], "left_semi")
+    loose = F.col(key).isNull() & (F.trim(F.coalesce(text, F.lit("")), F.lit(" \t\n\x0b\x0c\r")) == "")
+    rows = rows.withColumn("__row", F.when(loose, F.monotonically_increasing_id()))
+    return rows.dropDuplicates(["__k", "__c", "__row"]).select(*docs.columns)

@@ -376,3 +376,18 @@ def test_special_tokens_are_one_id(spark):
     for r in packing.pack(df, width=64).collect():
         whole = [*ids(odd[r["doc_id"]]), 1]
         assert (r["doc_tokens"], r["ids_crc32"]) == (len(whole), zlib.crc32(np.array(whole[r["start"] : r["start"] + r["length"]], "<u4").tobytes()))
+
+
+def test_keep_first_without_or_with_repeated_keys(spark):
+    long = lambda w: " ".join(f"{w}{i}" for i in range(100))
+    a, b, c, d, f = map(long, "abcdf")
+    rows = [(None, a, 1), (None, a + " end", 2), (5, a, 3), (None, b, 4), (7, c, 5), (7, d, 6), (7, d, 6), (7, c + " end", 7), (8, d + " end", 8), (9, f, 9), (None, None, 10), (None, "", 11), (None, " \n", 12), (9, "", 13), (9, "", 13), (10, "", 14)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n int").repartition(3)
+    got = near_dedup.keep_first(df)
+    assert got.columns == df.columns
+    kept = collections.Counter(r["n"] for r in got.collect())
+    assert max(kept.values()) == 1
+    groups = [{1, 2}, {4}, {5, 7}, {6}, {9}, {10}, {11}, {12}, {13}, {14}]
+    assert set(kept) <= set().union(*groups) and [len(g & set(kept)) for g in groups] == [1] * len(groups)
+    for _ in range(2):
+        assert set(kept) == {r["n"] for r in near_dedup.keep_first(df.repartition(2)).collect()}
