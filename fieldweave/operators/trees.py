@@ -2,28 +2,27 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as ty
 
-#: Levels walked; deeper containers come out as their JSON text.
-DEPTH = 16
-
 
 def _kind(v: Column) -> Column:
     s = F.schema_of_variant(v)
     return F.when(s.startswith("OBJECT"), "object").when(s.startswith("ARRAY"), "array").otherwise("leaf")
 
 
-def walk(df: DataFrame, json: str, keep: list[str], depth: int = DEPTH) -> DataFrame:
+def walk(df: DataFrame, json: str, keep: list[str], depth: int | None = None) -> DataFrame:
     """One row per node below the root of each JSON tree: keep, path (array), parent (array), key, pos, kind, value (text of leaves).
 
-    Each level is one ``variant_explode``; the rounds stop when no container is left.
+    Each level is one ``variant_explode``; the rounds stop when no container is left, or after ``depth`` levels if given.
     """
     spark = df.sparkSession
     level = df.select(*keep, F.array().cast("array<string>").alias("path"), F.try_parse_json(F.col(json)).alias("v")).where("v is not null")
     out = None
-    for _ in range(depth):
+    for _ in itertools.count() if depth is None else range(depth):
         level.createOrReplaceTempView("_tree_level")
         names = ", ".join(f"t.`{k}`" for k in keep)
         nodes = spark.sql(f"select {names}, t.path as parent, e.pos, e.key, e.value as v from _tree_level t, lateral variant_explode(t.v) e")
@@ -98,6 +97,6 @@ def gather(records: DataFrame, keep: list[str], names: list[str] | None = None,
     """One row per keep, a column per name, its non-empty values joined in order.  Names are read once if not given."""
     good = records.where(F.col("value").isNotNull() & ~F.lower("value").isin("", "none", "nan"))
     if names is None:
-        names = sorted(r[0] for r in good.select("name").distinct().limit(10_000).collect())
+        names = sorted(r[0] for r in good.select("name").distinct().collect())
     lists = good.groupBy(*keep, "name").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "value"))), lambda s: s["value"]), separator).alias("value"))
     return lists.groupBy(*keep).pivot("name", names).agg(F.first("value"))
