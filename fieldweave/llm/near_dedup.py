@@ -9,12 +9,18 @@
    posterior probability (uniform prior) of similarity 0.8 falls below ``MISS``.
 4. Where a key has members that its smallest member isn't like, those are compared with
    all members of that key in the same way, inside tasks that hold at most ``MEMBERS`` of
-   a key a side; a larger key is cut into blocks and every two blocks meet in one task.
+   a key a side.  The members that are like it need not meet each other.
 5. Survivors link classes into clusters.  Inside a cluster candidate pairs are verified
-   exactly on the full sets, best estimate first, skipping pairs already connected;
-   clusters over ``MEMBERS`` are cut into blocks as above.
+   exactly on the full sets, best estimate first, skipping pairs already connected.  A
+   cluster over ``MEMBERS`` is first verified in blocks that all hold its smallest node;
+   only nodes that this leaves unconnected to it then meet all others.
 6. Connected components of the exact links give the groups.
 
+What may be lost: a pair of similarity 0.8 misses every band with probability under 2e-7.
+``MISS`` is the posterior (uniform prior) at which a batch drops a pair; the chance that a
+pair of exactly 0.8 agrees in too few minima for some batch is the sum of the binomial tails
+below the counts of ``needed_matches``: 6e-6 (tested).
+
 Defined results: null and empty texts have an empty set, link with nothing and are their
 own group; a text of fewer words than a shingle is one shingle; equal documents share a
 group; a null key takes part as the smallest integer and comes back null.
@@ -31,17 +37,20 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import columnar as C
-from .storage import written
+from .storage import spare, written
 
 #: Words of a shingle unless given.
-SHINGLE = 4
+SHINGLE = 5
 THRESHOLD = (80, 100)
 ROWS, BANDS = 5, 40
 HASHES = ROWS * BANDS
 BATCH = 40
-#: Probability at which a pair at the threshold may be dropped, by batch.
+#: Posterior probability of reaching the threshold below which a batch drops a pair.
 MISS = 1e-6
+#: Members of a key, or of a cluster, that meet in one task.
 MEMBERS = 1024
+#: Rows of small keys that share a task.
+TOGETHER = 2048
 _NULL = -(2**63)
 _PRIME = np.uint32(0x9E3779B1)
 
@@ -163,61 +172,63 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return data.view("<u2").reshape(-1, HASHES)
 
 
-def _blocked(df: DataFrame, key: str, member: str, size: str, members: int, rows: int, together: int) -> DataFrame:
-    """Rows dealt to groups, with i, j, side and task.
+def _dealt(df: DataFrame, key: str, member: str, members: int, rows: int, together: int = TOGETHER) -> DataFrame:
+    """Rows (key, member, size, n_loose, loose, ...) dealt to groups, with i, j, side and task.
 
-    A key of up to ``members`` is one group (i = j); a larger one is cut into blocks and
-    every two of them are a group.  About ``together`` of the ``rows`` rows share a task.
+    Loose rows are to meet every row of their key, the others have met each other already.
+    A key of up to ``members`` rows is one group (side 2).  In a larger one the loose rows are
+    cut into blocks i and all rows into blocks j; a group is one of either (sides 0 and 1), so
+    work grows with loose x size, not with size x size.  About ``together`` of the ``rows``
+    rows share a task.
     """
-    blocks = F.ceil(F.col(size) / members).cast("int")
-    own = F.pmod(F.xxhash64(member), blocks).cast("int")
-    pairs = F.when(blocks <= 1, F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side")))).otherwise(
-        F.transform(F.sequence(F.lit(0), blocks - 1), lambda o: F.struct(F.least(o, own).alias("i"), F.greatest(o, own).alias("j"), F.when(own <= o, 0).otherwise(1).alias("side")))
-    )
+    number = lambda n: F.ceil(F.col(n) / members).cast("int")
+    own = lambda n: F.pmod(F.xxhash64(member), number(n)).cast("int")
+    place = lambda i, j, side: F.struct(i.alias("i"), j.alias("j"), F.lit(side).alias("side"))
+    upto = lambda n: F.sequence(F.lit(0), number(n) - 1)
+    left = F.transform(upto("size"), lambda j: place(own("n_loose"), j, 0))
+    right = F.transform(upto("n_loose"), lambda i: place(i, own("size"), 1))
+    groups = F.when(F.col("size") <= members, F.array(place(F.lit(0), F.lit(0), 2))).when(F.col("loose"), F.concat(left, right)).otherwise(right)
     tasks = max(1, -(-rows // together))
-    spread = F.when(F.col(size) <= members, F.pmod(F.xxhash64(key), F.lit(tasks))).otherwise(F.xxhash64(key, "i", "j"))
-    return df.select("*", F.inline(pairs)).withColumn("task", spread)
+    spread = F.when(F.col("size") <= members, F.pmod(F.xxhash64(key), F.lit(tasks))).otherwise(F.xxhash64(key, "i", "j"))
+    return df.select("*", F.inline(groups)).withColumn("task", spread)
 
 
-def _groups(table: pa.Table, key: str):
-    """Yield the part of a task's table that belongs to each (key, i, j)."""
+def _groups(table: pa.Table, key: str, member: str):
+    """Yield for each (key, i, j) of a task's table: one row of every member, and whether it stands left and right."""
     columns = [table.column(c).to_numpy() for c in (key, "i", "j")]
+    names, side = table.column(member).to_numpy(), table.column("side").to_numpy()
+    loose = np.asarray(table.column("loose").to_numpy(zero_copy_only=False), dtype=bool)
     order = np.lexsort(columns[::-1])
     fresh = np.ones(len(order), dtype=bool)
     fresh[1:] = np.any([c[order][1:] != c[order][:-1] for c in columns], axis=0)
     at = np.append(np.flatnonzero(fresh), len(order))
     for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-        yield order[a:b], bool(columns[1][order[a]] == columns[2][order[a]])
-
-
-class Forest:
-    """Union-find over 0..n-1."""
-
-    def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def root(self, i: int) -> int:
-        while self.up[i] != i:
-            self.up[i] = self.up[self.up[i]]
-            i = self.up[i]
-        return i
+        rows = order[a:b]
+        _, one, back = np.unique(names[rows], return_index=True, return_inverse=True)
+        left, right = np.zeros(len(one), dtype=bool), np.zeros(len(one), dtype=bool)
+        left[back[(side[rows] != 1) & loose[rows]]] = True
+        right[back[side[rows] != 0]] = True
+        yield rows[one], left, right
 
-    def join(self, i: int, j: int) -> bool:
-        i, j = self.root(i), self.root(j)
-        self.up[max(i, j)] = min(i, j)
-        return i != j
 
+def _linked(sig: np.ndarray, left: np.ndarray, right: np.ndarray, label: np.ndarray, needed: list[tuple[int, int]], same=None):
+    """Yield links (i, j) of left rows with right ones that join what isn't joined yet.
 
-def _candidates(sig: np.ndarray, left: np.ndarray, right: np.ndarray, needed: list[tuple[int, int]]):
-    """Yield (i, j, matches) arrays of surviving pairs, one member of ``left`` at a time against those of ``right``."""
-    for i in left.tolist():
-        others = right[right != i]
-        first = (sig[others, : needed[0][0]] == sig[i, : needed[0][0]]).sum(axis=1)
-        others = others[first >= needed[0][1]]
-        if len(others):
-            alive, matches = survive(np.broadcast_to(sig[i], (len(others), HASHES)), sig[others], needed)
-            if len(alive):
-                yield i, others[alive], matches
+    label: rows of one label are joined already (changed in place).  Candidates that no batch
+    of minima drops are tried best estimate first, and verified by ``same`` where given.
+    """
+    for i in np.flatnonzero(left).tolist():
+        others = np.flatnonzero(right & (label != label[i]))
+        if right[i]:  # both ways are one pair
+            others = others[~left[others] | (others > i)]
+        others = others[(sig[others, : needed[0][0]] == sig[i, : needed[0][0]]).sum(axis=1) >= needed[0][1]]
+        if not len(others):
+            continue
+        alive, matches = survive(np.broadcast_to(sig[i], (len(others), HASHES)), sig[others], needed)
+        for j in others[alive][np.argsort(-matches, kind="stable")].tolist():
+            if label[i] != label[j] and (same is None or same(i, j)):
+                label[label == label[j]] = label[i]
+                yield i, j
 
 
 def _star(pairs: DataFrame, sigs: DataFrame, needed: list[tuple[int, int]]) -> DataFrame:
@@ -236,96 +247,110 @@ def _star(pairs: DataFrame, sigs: DataFrame, needed: list[tuple[int, int]]) -> D
     return both.select("x", "lead", "sx", "sl").mapInArrow(run, "x long, lead long, like boolean")
 
 
+def _pairs(found: list[tuple[int, int]], names: np.ndarray) -> pa.Table:
+    at = np.array(found, dtype=np.int64).reshape(-1, 2)
+    return pa.table({"a": pa.array(names[at[:, 0]], pa.int64()), "b": pa.array(names[at[:, 1]], pa.int64())})
+
+
 def _rest(stars: DataFrame, sigs: DataFrame, needed: list[tuple[int, int]], members: int) -> DataFrame:
     """Links (a, b) among the members of keys whose smallest member isn't like all the others.
 
-    The smallest member itself has met all of them.  Those like it are one to begin with.
+    The smallest member itself has met all of them.  Those like it are joined to begin with.
     """
-    mixed = written(stars.groupBy("key").agg(F.count("*").alias("size"), F.sum((~F.col("like")).cast("int")).alias("unlike")).where("size > 1 and unlike > 0").select("key", "size"), "mixed-keys")
+    mixed = written(stars.groupBy("key").agg(F.count("*").alias("size"), F.sum((~F.col("like")).cast("int")).alias("n_loose")).where("size > 1 and n_loose > 0"), "mixed-keys")
     total = mixed.agg(F.sum("size").alias("n")).first()["n"] or 0
-    rows = stars.join(mixed, "key").select("key", "size", "x", "like").join(sigs.select(F.col("node").alias("x"), "sig"), "x")
+    rows = stars.join(mixed, "key").select("key", "size", "n_loose", "x", (~F.col("like")).alias("loose")).join(sigs.select(F.col("node").alias("x"), "sig"), "x")
 
     def run(table: pa.Table) -> pa.Table:
-        all_sig, all_x = _matrix(table.column("sig")), table.column("x").to_numpy()
-        all_like, all_side = np.array(table.column("like").to_pylist(), dtype=bool), table.column("side").to_numpy()
-        a, b = [], []
-        for at, whole in _groups(table, "key"):
-            sig, like, side, x = all_sig[at], all_like[at], all_side[at], all_x[at]
-            forest = Forest(len(at))
-            alike = np.flatnonzero(like).tolist()
-            for i in alike[1:]:
-                forest.join(alike[0], i)
-            for mine, theirs in [(None, None)] if whole else [(0, 1), (1, 0)]:
-                left = np.flatnonzero(~like if whole else ~like & (side == mine))
-                right = np.arange(len(at)) if whole else np.flatnonzero(side == theirs)
-                for i, others, _ in _candidates(sig, left, right, needed):
-                    for j in others.tolist():
-                        if forest.join(i, j):
-                            a.append(x[i])
-                            b.append(x[j])
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-    dealt = _blocked(rows, "key", "x", "size", members, total, 8192)
-    return dealt.select("task", "key", "i", "j", "side", "x", "like", "sig").groupBy("task").applyInArrow(run, "a long, b long")
+        sig, x, loose = _matrix(table.column("sig")), table.column("x").to_numpy(), np.asarray(table.column("loose").to_numpy(zero_copy_only=False), dtype=bool)
+        found = []
+        for at, left, right in _groups(table, "key", "x"):
+            label = np.where(loose[at], np.arange(len(at)), -1)
+            found += [(at[i], at[j]) for i, j in _linked(sig[at], left, right, label, needed)]
+        return _pairs(found, x)
+
+    dealt = _dealt(rows, "key", "x", members, total)
+    return dealt.select("task", "key", "i", "j", "side", "x", "loose", "sig").groupBy("task").applyInArrow(run, "a long, b long")
 
 
 def components(links: DataFrame, *, name: str = "components") -> DataFrame:
     """node, component (smallest node reachable) of every node in links (a, b).
 
-    Each round every node takes the smallest label of its neighbours, then the label of
-    that label; rounds end when nothing changes.
+    Each round every node moves to the least of its neighbours and itself, and once more from
+    there, by an order drawn anew each round; links between nodes that moved to one place go.
+    So the links shrink in every round, and a chain or a star takes few of them.
     """
-    both = links.where("a <> b").select("a", "b").distinct()
-    both = written(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), name)
-    labels = written(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")).withColumnRenamed("a", "node"), name)
-    while True:
-        near = both.join(labels.withColumnsRenamed({"node": "b"}), "b").groupBy("a").agg(F.min("label").alias("near"))
-        step = labels.join(near, labels["node"] == near["a"]).select("node", "label", F.least("label", "near").alias("to"))
-        hop = labels.select(F.col("node").alias("to"), F.col("label").alias("further"))
-        after = written(step.join(hop, "to", "left").select("node", F.col("label").alias("was"), F.least("to", F.coalesce("further", "to")).alias("label")), name)
-        labels = after.select("node", "label")
-        if after.where("was <> label").isEmpty():
-            return labels.withColumnRenamed("label", "component")
+    ends = F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
+    links = written(links.where("a <> b").select(*ends).distinct(), name)
+    moves: list[DataFrame] = []
+    while not links.isEmpty():
+        order = lambda c, seed=len(moves): F.struct(F.xxhash64(F.lit(seed), c).alias("h"), F.col(c).alias("to"))
+        both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy(F.col("a").alias("node")).agg(F.min(order("b")).alias("m"))
+        step = written(least.select("node", F.least("m", order("node"))["to"].alias("to")), name)
+        move = written(step.join(step.select(F.col("node").alias("to"), F.col("to").alias("further")), "to").select("node", F.col("further").alias("to")), name)
+        moves.append(move)
+        for end in ("a", "b"):
+            links = links.join(move.withColumnsRenamed({"node": end, "to": f"to_{end}"}), end)
+        links = written(links.select(F.col("to_a").alias("a"), F.col("to_b").alias("b")).where("a <> b").select(*ends).distinct(), name)
+    if not moves:
+        return links.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    place = moves[-1]
+    for move in moves[-2::-1]:
+        place = move.join(place.select(F.col("node").alias("to"), F.col("to").alias("end")), "to", "left").select("node", F.coalesce("end", "to").alias("to"))
+    place = written(place, name)
+    return place.join(place.groupBy("to").agg(F.min("node").alias("component")), "to").select("node", "component")
 
 
 def _verified(clusters: DataFrame, rows: DataFrame, needed: list[tuple[int, int]], members: int, shingle: int) -> DataFrame:
-    """Exact links (a, b) inside clusters (node, component, k, c); rows: k, c, text of the documents."""
-    sizes = clusters.groupBy("component").agg(F.count("*").alias("size"))
-    total = clusters.count()
-    wanted = clusters.join(sizes, "component")
-    texts = rows.join(wanted.hint("shuffle_hash"), ["k", "c"]).select("component", "size", "node", "text")
+    """Exact links (a, b) inside clusters (node, component, k, c); rows: k, c, text of the documents, each once.
+
+    A cluster of up to ``members`` nodes is verified in one task.  A larger one first in
+    blocks, each with the cluster's smallest node; nodes that this leaves unconnected to it
+    then meet all others.
+    """
     up, down = THRESHOLD
 
     def run(table: pa.Table) -> pa.Table:
-        a, b = [], []
-        texts, nodes, sides = table.column("text").combine_chunks(), table.column("node").to_numpy(), table.column("side").to_numpy()
-        for rows, whole in _groups(table, "component"):
-            rows = rows[np.unique(nodes[rows], return_index=True)[1]]  # equal rows of one document are one
-            sets, at = shingle_sets(*C.text_buffer(texts.take(pa.array(rows))), shingle)
-            sig, size, node, side = signatures(sets, at).astype("<u2"), np.diff(at), nodes[rows], sides[rows]
-            left = np.arange(len(rows)) if whole else np.flatnonzero(side == 0)
-            right = np.arange(len(rows)) if whole else np.flatnonzero(side == 1)
-            found = []
-            for i, others, matches in _candidates(sig, left, right, needed):
-                # Sizes alone rule out a pair whose smaller set is under the threshold's share of the larger.
-                fits = down * np.minimum(size[others], size[i]) >= up * np.maximum(size[others], size[i])
-                if whole:
-                    fits &= others > i
-                found += zip((-matches[fits]).tolist(), [i] * int(fits.sum()), others[fits].tolist(), strict=True)
-            found.sort()
-            forest = Forest(len(rows))
-            for _, i, j in found:
-                if forest.root(i) != forest.root(j):
-                    one, two = sets[at[i] : at[i + 1]], sets[at[j] : at[j + 1]]
-                    same = int((two[np.minimum(np.searchsorted(two, one), len(two) - 1)] == one).sum())
-                    if down * same >= up * (len(one) + len(two) - same):
-                        forest.join(i, j)
-                        a.append(node[i])
-                        b.append(node[j])
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-    dealt = _blocked(texts, "component", "node", "size", members, total, 1024)
-    return dealt.select("task", "component", "i", "j", "side", "node", "text").groupBy("task").applyInArrow(run, "a long, b long")
+        texts, nodes, found = table.column("text").combine_chunks(), table.column("node").to_numpy(), []
+        labels = table.column("label").to_numpy()
+        for at, left, right in _groups(table, "key", "node"):
+            sets, ends = shingle_sets(*C.text_buffer(texts.take(pa.array(at))), shingle)
+
+            def same(i: int, j: int, sets=sets, ends=ends) -> bool:
+                one, two = sets[ends[i] : ends[i + 1]], sets[ends[j] : ends[j + 1]]
+                if down * min(len(one), len(two)) < up * max(len(one), len(two)):
+                    return False  # sizes alone rule it out
+                both = int((two[np.minimum(np.searchsorted(two, one), len(two) - 1)] == one).sum())
+                return down * both >= up * (len(one) + len(two) - both)
+
+            found += [(at[i], at[j]) for i, j in _linked(signatures(sets, ends).astype("<u2"), left, right, labels[at].copy(), needed, same)]
+        return _pairs(found, nodes)
+
+    def links(dealt: DataFrame) -> DataFrame:
+        return dealt.select("task", "key", "i", "j", "side", "node", "loose", "label", "text").groupBy("task").applyInArrow(run, "a long, b long")
+
+    sizes = written(clusters.groupBy("component").agg(F.count("*").alias("size")), "cluster-sizes")
+    total = sizes.agg(F.sum("size").alias("n")).first()["n"] or 0
+    texts = rows.join(clusters.join(sizes, "component").hint("shuffle_hash"), ["k", "c"]).select("component", "size", "node", "text")
+    large = not sizes.where(F.col("size") > members).isEmpty()
+    if large:
+        texts = written(texts, "cluster-texts")
+    # The smallest node goes to every block of its cluster.
+    blocks = F.ceil(F.col("size") / members).cast("int")
+    block = F.when(F.col("node") == F.col("component"), F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(F.pmod(F.xxhash64("node"), blocks).cast("int")))
+    tasks = max(1, -(-total // TOGETHER))
+    first = texts.select("*", F.explode(block).alias("i")).withColumns({"key": F.col("component"), "j": F.lit(0), "side": F.lit(2), "loose": F.lit(True), "label": F.col("node")})
+    spread = F.when(F.col("size") <= members, F.pmod(F.xxhash64("key"), F.lit(tasks))).otherwise(F.xxhash64("key", "i"))
+    found = links(first.withColumn("task", spread))
+    if not large:
+        return found
+    found = written(found, "cluster-links")
+    inside = components(found, name="cluster-groups").withColumnRenamed("component", "label")
+    left = texts.where(F.col("size") > members).join(inside, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    left = left.withColumn("loose", F.col("label") != F.col("component")).withColumn("key", F.col("component"))
+    loose = left.where("loose").groupBy("key").agg(F.count("*").alias("n_loose"))
+    return found.unionByName(links(_dealt(left.join(loose, "key"), "key", "node", members, total)))
 
 
 def _document(key: str, text: str) -> list:
@@ -333,11 +358,34 @@ def _document(key: str, text: str) -> list:
     return [F.coalesce(F.col(key).cast("long"), F.lit(_NULL)).alias("k"), F.xxhash64(F.coalesce(F.col(text).cast("binary"), F.lit(b""))).alias("c")]
 
 
-def _grouped(docs: DataFrame, key: str, text: str, members: int, shingle: int) -> tuple[DataFrame, DataFrame]:
-    """(k, c, n, digest of every row; digest, k, c, component of every class, k and c being its smallest document)."""
+def _once(df: DataFrame, k: str, c: str, exempt: str | None = None) -> DataFrame:
+    """The first row of each document in a task; rows marked ``exempt`` all stay.
+
+    Before a shuffle by document this leaves no more rows of one than there are tasks.
+    """
+    names = [n for n in (k, c, exempt) if n]
+
+    def run(batches):
+        seen: set[tuple[int, int]] = set()
+        for batch in batches:
+            columns = [batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names]
+            keep = []
+            for i, (name, free) in enumerate(zip(zip(*columns[:2], strict=True), columns[2] if exempt else [False] * batch.num_rows, strict=True)):
+                if free or name not in seen:
+                    keep.append(i)
+                    if not free:
+                        seen.add(name)
+            yield batch.take(pa.array(keep, pa.int64()))
+
+    return df.mapInArrow(run, df.schema)
+
+
+def _grouped(docs: DataFrame, key: str, text: str, members: int, shingle: int) -> tuple[DataFrame, DataFrame, bool]:
+    """(k, c, n, digest of every row; digest, k, c, component of every class, k and c being its smallest document; whether a document has several rows)."""
     rows = docs.select(*_document(key, text), F.col(text).alias("text"))
     needed = needed_matches()
     signed = written(_signed(rows, shingle), "signatures")
+    again = not signed.groupBy("k", "c").count().where("count > 1").isEmpty()
     classes = signed.where("n > 0").groupBy("digest").agg(F.min(F.struct("k", "c")).alias("rep"), F.first("sig").alias("sig"))
     classes = written(classes.select(F.monotonically_increasing_id().alias("node"), "digest", F.col("rep.k").alias("k"), F.col("rep.c").alias("c"), "sig"), "classes")
     sigs = classes.select("node", "sig")
@@ -346,17 +394,18 @@ def _grouped(docs: DataFrame, key: str, text: str, members: int, shingle: int) -
     stars = written(keys.join(leads, "key").where("x <> lead"), "band-stars")
     like = written(_star(stars.select("x", "lead").distinct(), sigs, needed), "star-pairs")
     links = like.where("like").select(F.col("x").alias("a"), F.col("lead").alias("b")).unionByName(_rest(stars.join(like, ["x", "lead"]), sigs, needed, members))
-    clusters = components(links, name="clusters").join(classes.select("node", "k", "c"), "node")
-    groups = components(_verified(written(clusters, "cluster-members"), rows, needed, members, shingle), name="groups")
+    clusters = written(components(links, name="clusters").join(classes.select("node", "k", "c"), "node"), "cluster-members")
+    single = _once(rows, "k", "c") if again else rows
+    groups = components(_verified(clusters, single, needed, members, shingle), name="groups")
     # A class without links is a group of its own.
     named = classes.select("node", "digest", "k", "c").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    return signed.select("k", "c", "n", "digest"), named
+    return signed.select("k", "c", "n", "digest"), named, again
 
 
 def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", members: int = MEMBERS, shingle: int = SHINGLE) -> DataFrame:
     """key, n_shingles, component_id, kept of every row; a group goes by its smallest key, which kept compares with the row's."""
     kind = dict(docs.dtypes)[key]
-    signed, named = _grouped(docs, key, text, members, shingle)
+    signed, named, _ = _grouped(docs, key, text, members, shingle)
     names = named.groupBy("component").agg(F.min("k").alias("component_id"))
     by_digest = named.join(names, "component").select("digest", "component_id")
     out = signed.select("k", "n", F.when(F.col("n") > 0, F.col("digest")).alias("digest")).join(by_digest, "digest", "left")
@@ -370,10 +419,13 @@ def keep_first(docs: DataFrame, *, key: str = "doc_id", text: str = "text", memb
     Rows count by key and text: unlike texts under one key or none are documents of their own, rows equal
     in both are one.  A text without words is kept once for each key, and in every row without a key.
     """
-    signed, named = _grouped(docs, key, text, members, shingle)
+    signed, named, again = _grouped(docs, key, text, members, shingle)
     first = named.groupBy("component").agg(F.min(F.struct("k", "c")).alias("rep")).select("rep.k", "rep.c")
-    kept = first.unionByName(signed.where("n = 0").select("k", "c").distinct()).select(F.col("k").alias("__k"), F.col("c").alias("__c"))
-    rows = docs.select("*", *[d.alias(n) for d, n in zip(_document(key, text), ("__k", "__c"), strict=True)]).join(kept.hint("shuffle_hash"), ["__k", "__c"], "left_semi")
+    k, c, free, row = spare(docs.columns, "k", "c", "free", "row")
+    kept = first.unionByName(signed.where("n = 0").select("k", "c").distinct()).withColumnsRenamed({"k": k, "c": c})
+    rows = docs.select("*", *[d.alias(n) for d, n in zip(_document(key, text), (k, c), strict=True)])
+    if not again:
+        return rows.join(kept.hint("shuffle_hash"), [k, c], "left_semi").select(*docs.columns)
     loose = F.col(key).isNull() & (F.trim(F.coalesce(text, F.lit("")), F.lit(" \t\n\x0b\x0c\r")) == "")
-    rows = rows.withColumn("__row", F.when(loose, F.monotonically_increasing_id()))
-    return rows.dropDuplicates(["__k", "__c", "__row"]).select(*docs.columns)
+    rows = _once(rows.withColumn(free, loose), k, c, free).join(kept.hint("shuffle_hash"), [k, c], "left_semi")
+    return rows.withColumn(row, F.when(F.col(free), F.monotonically_increasing_id())).dropDuplicates([k, c, row]).select(*docs.columns)

@@ -23,6 +23,17 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def spare(columns: list[str], *names: str) -> list[str]:
+    """The names, each with underscores until no column is called so, whatever the case."""
+    taken, out = {c.lower() for c in columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A path that no other call gets."""
     return f"{shared_folder(spark)}/fieldweave/{name}-{uuid.uuid4().hex}"

@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import itertools
+import math
 import random
 import re
 import zlib
@@ -292,11 +293,11 @@ def test_url_lists(spark):
         assert [got[i]["categories"] for i in range(9)] == want and [got[i]["blocked"] for i in range(9)] == [w != "" for w in want]
 
 
-def groups_of(rows, up=80, down=100):
+def groups_of(rows, up=80, down=100, shingle=5):
     sets = []
     for r in rows:
         w = WORD.findall((r[1] or "").translate(LOWER))
-        sets.append(frozenset(zip(w, w[1:], w[2:], w[3:])) if len(w) >= 4 else frozenset([tuple(w)] if w else []))
+        sets.append(frozenset(zip(*[w[i:] for i in range(shingle)])) if len(w) >= shingle else frozenset([tuple(w)] if w else []))
     label = list(range(len(rows)))
     key = [(-(2**63) if r[0] is None else r[0]) for r in rows]
     changed = True
@@ -311,8 +312,8 @@ def groups_of(rows, up=80, down=100):
     return [(len(s), key[label[i]]) for i, s in enumerate(sets)], key
 
 
-@pytest.mark.parametrize("members", [1024, 4])
-def test_near_dedup(spark, docs, rows, none, members):
+@pytest.mark.parametrize("members, shingle", [(1024, 4), (4, 4), (3, 5), (1024, 5)])
+def test_near_dedup(spark, docs, rows, none, members, shingle):
     rng = random.Random(9)
     base = [f"w{i}" for i in range(150)]
     more = []
@@ -322,13 +323,50 @@ def test_near_dedup(spark, docs, rows, none, members):
             words[rng.randrange(150)] = f"n{rng.randrange(10**6)}"
         more.append((100 + i, " ".join(words), "en", "a", 1, 7, "h", "n"))
     table = [*rows, *more]
-    want, key = groups_of(table)
+    want, key = groups_of(table, shingle=shingle)
     df = spark.createDataFrame(table, SCHEMA)
-    got = sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"]), r["kept"]) for r in near_dedup.near_duplicates(df, members=members).collect())
+    got = sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"]), r["kept"]) for r in near_dedup.near_duplicates(df, members=members, shingle=shingle).collect())
     name = lambda k: str(None if k == -(2**63) else k)
     assert got == sorted((name(k), n, name(c), k == c) for k, (n, c) in zip(key, want))
     assert near_dedup.near_duplicates(none).count() == 0
-    assert near_dedup.keep_first(df).count() == len({k for k, (_, c) in zip(key, want) if k == c})
+    assert near_dedup.keep_first(df, members=members, shingle=shingle).count() == len({k for k, (_, c) in zip(key, want) if k == c})
+
+
+def test_components(spark):
+    rng = random.Random(3)
+    chain = list(range(100, 160))
+    rng.shuffle(chain)
+    edges = [(i, i + 1) for i in range(40)] + list(zip(chain, chain[1:])) + [(500, i) for i in range(501, 560)] + [(i, 700) for i in range(640, 700)] + [(9000, 9000), (9001, 9002), (9002, 9001), (9001, 9002)]
+    label = {x: x for e in edges for x in e if e[0] != e[1]}
+    for _ in range(len(label)):
+        for a, b in edges:
+            if a != b:
+                label[a] = label[b] = min(label[a], label[b])
+    got = near_dedup.components(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert {r["node"]: r["component"] for r in got} == label and len(got) == len(label)
+    assert near_dedup.components(spark.createDataFrame([(1, 1)], "a long, b long")).count() == 0
+
+
+def test_large_group_needs_few_pairs(spark, monkeypatch):
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join([*base, f"end{i}"])) for i in range(1500)]
+    for i in range(40):  # far from the base text, some close to each other
+        words = [f"v{i // 2}x{j}" for j in range(60)]
+        rows.append((5000 + i, " ".join([*base[:30], *words, f"z{i}"])))
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    dealt, real = [], near_dedup._dealt
+
+    def counted(*args, **options):
+        out = real(*args, **options)
+        dealt.append(out.count())
+        return out
+
+    monkeypatch.setattr(near_dedup, "_dealt", counted)
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(df, members=128).collect()}
+    assert all(got[i] == 0 for i in range(1500)) and all(got[5000 + i] == 5000 + i // 2 * 2 for i in range(40))
+    assert sum(dealt) < 8 * len(rows)  # all pairs of blocks would deal each row to 12 tasks and more
 
 
 def test_needed_matches_never_drop_at_threshold():
@@ -338,6 +376,8 @@ def test_needed_matches_never_drop_at_threshold():
         agree = rng.random(near_dedup.HASHES) < 0.8
         lost += any(agree[:n].sum() < low for n, low in needed)
     assert lost <= 2
+    tail = lambda n, m: sum(math.comb(n, i) * 0.8**i * 0.2 ** (n - i) for i in range(m))
+    assert sum(tail(n, m) for n, m in needed) < 6e-6
 
 
 def test_near_dedup_shingle_width(spark, tmp_path):
