@@ -96,6 +96,8 @@ def tokenized(docs: DataFrame, *, key: str, text: str, end_id: int, path: str, c
 
     def run(batches):
         encoder = T.encoder(path)
+        if max(len(encoder.ends), end_id + 1) > 1 << 16:
+            raise ValueError("ids of this vocabulary take more than 16 bits")
         for batch in C.slices(batches, text):
             data, offsets = C.text_buffer(batch.column(batch.schema.get_field_index(text)))
             ids, at = encoder.encode(data, offsets)
@@ -105,8 +107,6 @@ def tokenized(docs: DataFrame, *, key: str, text: str, end_id: int, path: str, c
             at = at + np.arange(rows + 1)
             values = pa.Array.from_buffers(pa.binary(), rows, [None, pa.py_buffer((2 * at).astype(np.int32).tobytes()), pa.py_buffer(out.tobytes())])
             yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(f.name)) for f in kept], values, pa.array(np.diff(at))], names=[*[f.name for f in kept], "ids", "n_tokens"])
-        encoder.forget()
-        C.release()
 
     names = [f.name for f in kept]
     return docs.select(*names, *([] if text in names else [text])).mapInArrow(run, schema_with(kept, "ids binary, n_tokens long"))

@@ -4,9 +4,10 @@ The tokenizer splits a text at white space and between letters, digits and other
 signs before its merges, so the ids of a text are those of its parts in order.
 Parts made of ASCII and Latin letters below U+0250 are cut at those borders and
 lower-cased in ASCII (both leave the tokenizer's own result unchanged: such letters
-are fixed by its normaliser and no combining mark follows inside the part); any other
-stretch between ASCII white space goes to the tokenizer whole, and so does one that
-holds a special token of the file, which is one id wherever it stands.  Distinct parts are
+are fixed by its normaliser and no combining mark follows inside the part).  U+0130,
+whose lower case is two characters, is the exception; a stretch between ASCII white
+space that holds it, or anything else, goes to the tokenizer whole, and so does one with
+a special token of the file, which is one id wherever it stands.  Distinct parts are
 found by a 64-bit hash and a check sum, encoded once and kept in a bounded per-worker cache.
 """
 
@@ -21,7 +22,7 @@ import pandas as pd
 from . import columnar as C
 
 TOKENIZER = "word_bpe_49k.json"
-#: Distinct parts that a worker remembers; past it the cache starts anew.
+#: Distinct parts that a worker remembers (about 30 bytes each); past it those that came up once go.
 CACHE_PARTS = 400_000
 
 _ASCII_SPACE = ~C.VISIBLE
@@ -59,19 +60,29 @@ def _found(data: np.ndarray, sign: bytes) -> np.ndarray:
     return at
 
 
+def _spaced(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> str:
+    """The parts, lower-cased in ASCII, with a blank after each."""
+    size = ends - starts + 1
+    at = np.zeros(len(size) + 1, dtype=np.int64)
+    np.cumsum(size, out=at[1:])
+    out = C.ASCII_LOWER[data[np.minimum(np.arange(at[-1]) + np.repeat(starts - at[:-1], size), len(data) - 1)]]
+    out[at[1:] - 1] = 0x20
+    return out.tobytes().decode()
+
+
 class Encoder:
-    """Ids of whole texts; with ``specials`` equal to ``encode(text, add_special_tokens=False).ids`` of the tokenizers library.
+    """Ids of whole texts, equal to ``encode(text, add_special_tokens=False).ids`` of the tokenizers library.
 
-    Without, special tokens that a text spells out are plain signs (``encode_special_tokens``).
+    Without ``specials``, special tokens that a text spells out are plain signs (``encode_special_tokens``).
     """
 
-    def __init__(self, path: str, specials: bool = False):
+    def __init__(self, path: str, specials: bool = True):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = not specials
-        self.specials = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()] if specials else []
+        self.whole = [b"\xc4\xb0", *([t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()] if specials else [])]
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
         for token, i in self.tokenizer.get_vocab().items():
             self.ends[i] = token.endswith("</w>")
@@ -79,21 +90,48 @@ class Encoder:
 
     def forget(self) -> None:
         """Empty the cache of parts."""
-        self.known: dict[int, int] = {}
+        self.hashes, self.place = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int32)  # ascending hashes, and where each is kept
+        self.count = 0
         self.second = np.zeros(1 << 16, dtype=np.uint64)
-        self.start = np.zeros((1 << 16) + 1, dtype=np.int64)
+        self.start = np.zeros((1 << 16) + 1, dtype=np.int32)
+        self.seen = np.zeros(1 << 16, dtype=bool)
         self.ids = np.zeros(1 << 18, dtype=np.int32)
 
-    def _parts(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(starts, ends, plain) of the parts; plain parts hold one run of letters."""
+    def _forget_rare(self) -> None:
+        """Keep the parts that came up again since they were learnt; if those are too many, none."""
+        keep = np.flatnonzero(self.seen[: self.count])
+        if len(keep) > CACHE_PARTS // 2:
+            return self.forget()
+        begin, length = self.start[keep].astype(np.int64), np.diff(self.start[: self.count + 1])[keep]
+        at = np.zeros(len(keep) + 1, dtype=np.int64)
+        np.cumsum(length, out=at[1:])
+        ids = self.ids[np.arange(at[-1]) + np.repeat(begin - at[:-1], length)]
+        moved = np.full(self.count, -1, dtype=np.int32)
+        moved[keep] = np.arange(len(keep))
+        left = moved[self.place] >= 0
+        hashes, place, second = self.hashes[left], moved[self.place[left]], self.second[keep]
+        self.forget()
+        self.hashes, self.place, self.count = hashes, place, len(keep)
+        self._room(len(keep), len(ids))
+        self.second[: len(keep)], self.start[: len(keep) + 1], self.ids[: len(ids)] = second, at, ids
+
+    def _room(self, parts: int, ids: int) -> None:
+        if parts + 1 > len(self.start):
+            size = max(parts + 1, min(2 * len(self.start), CACHE_PARTS)) - len(self.start)
+            self.start, self.second, self.seen = (np.concatenate([x, np.zeros(size, dtype=x.dtype)]) for x in (self.start, self.second, self.seen))
+        if ids > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(max(ids, len(self.ids) * 5 // 4) - len(self.ids), dtype=np.int32)])
+
+    def _parts(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(starts, ends, plain, cased) of the parts; plain ones hold one run of letters, cased ones go to the tokenizer whole."""
         opens, closes = C.runs(C.VISIBLE[data], offsets)
         if not len(opens):
-            return opens, closes, np.zeros(0, dtype=bool)
+            return opens, closes, np.zeros(0, dtype=bool), np.zeros(0, dtype=bool)
         odd = np.flatnonzero(_ODD[data])
         signs = np.flatnonzero(data == 0xC3)  # the multiplication and division signs are no letters
         following = data[np.minimum(signs + 1, len(data) - 1)]
         odd = np.concatenate([odd, signs[(following == 0x97) | (following == 0xB7)]])
-        odd = np.concatenate([odd, *[_found(data, s) for s in self.specials]])
+        odd = np.concatenate([odd, *[_found(data, s) for s in self.whole]])
         chunk_of_odd = np.searchsorted(opens, odd, side="right") - 1
         whole = np.zeros(len(opens), dtype=bool)
         whole[chunk_of_odd[(chunk_of_odd >= 0) & (odd < closes[chunk_of_odd])]] = True
@@ -111,47 +149,47 @@ class Encoder:
             starts, chunk = starts[keep], chunk[keep]
         ends = closes[chunk]
         ends[:-1] = np.minimum(ends[:-1], starts[1:])
-        return starts, ends, (kind[starts] == 1) & ~whole[chunk]
+        return starts, ends, (kind[starts] == 1) & ~whole[chunk], whole[chunk]
 
-    def _learn(self, words: list[bytes], plain: np.ndarray, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    def _learn(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, plain: np.ndarray, first: np.ndarray, second: np.ndarray) -> np.ndarray:
         """Encode new distinct parts and add them to the cache; returns each one's place there."""
-        easy, hard = np.flatnonzero(plain), np.flatnonzero(~plain)
-        flat, lengths = [], []
+        easy, hard = np.flatnonzero(plain), [np.flatnonzero(~plain)]
+        order, flat, lengths = [], [], []
         for at in range(0, len(easy), 2000):
-            group = [words[i].decode() for i in easy[at : at + 2000].tolist()]
-            got = np.array(self.tokenizer.encode_batch_fast([" ".join(group)], add_special_tokens=False)[0].ids, dtype=np.int32)
+            group = easy[at : at + 2000]
+            got = np.array(self.tokenizer.encode_batch_fast([_spaced(data, starts[group], ends[group])], add_special_tokens=False)[0].ids, dtype=np.int32)
             cuts = np.flatnonzero(self.ends[got]) + 1
             if len(cuts) == len(group):  # each run of letters ends with its one word-end token
+                order.append(group)
                 flat.append(got)
                 lengths.append(np.diff(cuts, prepend=0))
             else:
-                hard = np.concatenate([easy[at : at + 2000], hard])
-                easy = np.concatenate([easy[:at], easy[at + 2000 :]])
-                return self._learn(words, np.isin(np.arange(len(words)), easy), first, second)
-        one_by_one = [e.ids for e in self.tokenizer.encode_batch_fast([words[i].decode("utf-8", "replace") for i in hard.tolist()], add_special_tokens=False)]
+                hard.append(group)
+        rest = np.concatenate(hard)
+        words = [data[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(starts[rest].tolist(), ends[rest].tolist(), strict=True)]
+        one_by_one = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
         lengths.append(np.array([len(x) for x in one_by_one], dtype=np.int64))
         flat.append(np.array([i for x in one_by_one for i in x], dtype=np.int32))
-        order = np.concatenate([easy, hard])
-        have, new = len(self.known), len(words)
-        if have + new + 1 > len(self.start):
-            self.start = np.concatenate([self.start, np.zeros(have + new, dtype=np.int64)])
-            self.second = np.concatenate([self.second, np.zeros(have + new, dtype=np.uint64)])
-        base = self.start[have]
+        by = np.concatenate([*order, rest])
+        have, new, ids = self.count, len(starts), np.concatenate(flat)
+        base = int(self.start[have])
+        self._room(have + new, base + len(ids))
         self.start[have + 1 : have + new + 1] = base + np.cumsum(np.concatenate(lengths))
-        self.second[have : have + new] = second[order]
-        end = int(self.start[have + new])
-        if end > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros(end, dtype=np.int32)])
-        self.ids[base:end] = np.concatenate(flat)
-        self.known.update(zip(first[order].tolist(), range(have, have + new), strict=True))
-        place = np.empty(new, dtype=np.int64)
-        place[order] = have + np.arange(new)
+        self.second[have : have + new] = second[by]
+        self.seen[have : have + new] = False
+        self.ids[base : base + len(ids)] = ids
+        self.count = have + new
+        place = np.empty(new, dtype=np.int32)
+        place[by] = have + np.arange(new)
+        sort = np.argsort(first)
+        into = np.searchsorted(self.hashes, first[sort])
+        self.hashes, self.place = np.insert(self.hashes, into, first[sort]), np.insert(self.place, into, place[sort])
         return place
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets of each text's ids) of the texts in a buffer."""
         rows = len(offsets) - 1
-        starts, ends, plain = self._parts(data, offsets)
+        starts, ends, plain, cased = self._parts(data, offsets)
         if not len(starts):
             return np.zeros(0, dtype=np.int32), np.zeros(rows + 1, dtype=np.int64)
         first = C.RollingHash.of_bytes(data, 0, True).spans(starts, ends)
@@ -159,28 +197,31 @@ class Encoder:
         np.cumsum(_CHECK[data], out=sums[1:])
         second = sums[ends] - sums[starts]
         # Parts that the tokenizer gets whole keep their case apart.
-        cased = ~plain
         if cased.any():
-            tag = C.RollingHash.of_bytes(data, 0).spans(starts[cased], ends[cased])
-            first[cased] = C.mixed(first[cased] + C.mixed(tag) * np.uint64(3))
+            size = ends[cased] - starts[cased]
+            at = np.zeros(len(size) + 1, dtype=np.int64)
+            np.cumsum(size, out=at[1:])
+            own = data[np.arange(at[-1]) + np.repeat(starts[cased] - at[:-1], size)]
+            first[cased] = C.mixed(first[cased] + C.mixed(C.RollingHash.of_bytes(own, 0).spans(at[:-1], at[1:])) * np.uint64(3))
         back, distinct = pd.factorize(first)
         at = np.empty(len(distinct), dtype=np.int64)
         at[back[::-1]] = np.arange(len(back) - 1, -1, -1)
         if (second[at][back] != second).any():
             return self._plainly(data, offsets)
-        if len(self.known) + len(distinct) > CACHE_PARTS:
-            self.forget()
-        known = self.known
-        index = np.array([known.get(h, -1) for h in distinct.tolist()], dtype=np.int64)
+        if self.count + len(distinct) > CACHE_PARTS:
+            self._forget_rare()
+        index = np.full(len(distinct), -1, dtype=np.int32)
+        if self.count:
+            near = np.minimum(np.searchsorted(self.hashes, distinct), len(self.hashes) - 1)
+            index = np.where(self.hashes[near] == distinct, self.place[near], index)
+            self.seen[index[index >= 0]] = True
         new = np.flatnonzero(index < 0)
         if len(new):
             pick = at[new]
-            words = [data[a:b].tobytes() for a, b in zip(starts[pick].tolist(), ends[pick].tolist(), strict=True)]
-            words = [w.lower() if p else w for w, p in zip(words, plain[pick].tolist(), strict=True)]
-            index[new] = self._learn(words, plain[pick], distinct[new], second[pick])
+            index[new] = self._learn(data, starts[pick], ends[pick], plain[pick], distinct[new], second[pick])
         if (self.second[index] != second[at]).any():
             return self._plainly(data, offsets)
-        begin, length = self.start[index][back], (self.start[index + 1] - self.start[index])[back]
+        begin, length = self.start[index][back].astype(np.int64), (self.start[index + 1] - self.start[index])[back]
         total = np.zeros(len(length) + 1, dtype=np.int64)
         np.cumsum(length, out=total[1:])
         gather = np.arange(total[-1]) + np.repeat(begin - total[:-1], length)
@@ -200,5 +241,5 @@ _encoders: dict[str, Encoder] = {}
 def encoder(path: str) -> Encoder:
     """The worker's encoder of a file, made once; special tokens in a text are one id each."""
     if path not in _encoders:
-        _encoders[path] = Encoder(path, specials=True)
+        _encoders[path] = Encoder(path)
     return _encoders[path]

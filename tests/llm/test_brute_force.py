@@ -136,9 +136,7 @@ def test_kd_shards(docs, rows, none):
 def tokenizer():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(tokens.tokenizer_path())
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(tokens.tokenizer_path())
 
 
 def test_encoder(tokenizer):
@@ -151,6 +149,37 @@ def test_encoder(tokenizer):
         assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == [tokenizer.encode(t or "", add_special_tokens=False).ids for t in odd]
 
 
+def test_encoder_on_random_strings(tokenizer):
+    import pyarrow as pa
+
+    rng = random.Random(8)
+    signs = [" ", "\n", "\xa0", "'", ".", "(", ")", "-", "1", "5", "a", "B", "\u0301", "\u0130", "<|endoftext|>", "'s", "日", "\u212b", "\u00ad"]
+    letters = [chr(c) for c in range(0x80, 0x250)]
+    said = [f(c) for c in letters for f in (lambda c: c + ".", lambda c: f"({c})", lambda c: f"5{c}7", lambda c: f"a{c}B {c}", lambda c: f"{c}.\u00d6. 5")]
+    said += ["".join(rng.choice(signs if rng.random() < 0.5 else letters) for _ in range(rng.randrange(1, 25))) for _ in range(4000)]
+    e = tokens.Encoder(tokens.tokenizer_path())
+    for at in range(0, len(said), 1500):
+        part = said[at : at + 1500]
+        ids, ends = e.encode(*columnar.text_buffer(pa.array(part)))
+        got = [ids[a:b].tolist() for a, b in zip(ends, ends[1:])]
+        bad = [(t, g) for t, g in zip(part, got) if g != tokenizer.encode(t, add_special_tokens=False).ids]
+        assert not bad, bad[:5]
+
+
+def test_encoder_forgets_and_spells(tokenizer, monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(tokens, "CACHE_PARTS", 60)
+    e = tokens.Encoder(tokens.tokenizer_path())
+    for i in range(40):
+        said = [f"common words here stay w{j} x{'q' * (j % 7)} 7{j}" for j in range(i, i + 12)]
+        ids, ends = e.encode(*columnar.text_buffer(pa.array(said)))
+        assert [ids[a:b].tolist() for a, b in zip(ends, ends[1:])] == [tokenizer.encode(t, add_special_tokens=False).ids for t in said]
+    assert 0 < e.count < 200
+    spelt = tokens.Encoder(tokens.tokenizer_path(), specials=False).encode(*columnar.text_buffer(pa.array(["a <|endoftext|> b"])))[0]
+    assert spelt.tolist() == [320, 27, 347, 40786, 4160, 91, 285, 321]
+
+
 def test_token_files(docs, rows, none, tokenizer):
     ids = sorted([(-(2**63) if r[0] is None else r[0], [*tokenizer.encode(r[1] or "", add_special_tokens=False).ids, 2]) for r in rows], key=lambda x: x[0])
     starts = np.cumsum([0, *[len(x) for _, x in ids]])
