@@ -1,9 +1,12 @@
 """Benchmark decontamination by a broadcast set of normalised word windows.
 
-The benchmark's windows (13 consecutive words, or the whole item if it is shorter)
-become a sorted array of 64-bit hashes behind a bit filter, broadcast in blocks of
-proven size.  Each document's windows are looked up, and every hit is verified on
-its words before it counts.
+The benchmark's windows (13 consecutive words, or the whole item if it is shorter) are
+made by Spark and dealt by their hash into blocks of at most ``BLOCK_WINDOWS`` windows and
+``BLOCK_BYTES`` bytes, counted before anything is collected.  A block is broadcast as
+arrays: sorted 64-bit hashes, and the windows' words and items.  Documents' windows are
+looked up, and every hit is verified on its words before it counts.  One block needs one
+scan.  Several are scanned one after the other, each dropped before the next; what they
+hit is kept by a digest of the text and joined back, so no text is shuffled for it.
 
 Defined results: null and empty texts have no words and are never hit; items with
 null id or without words have no windows; equal items each count; repeated item ids
@@ -17,84 +20,118 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import columnar as C
-from .storage import schema_with
+from .storage import schema_with, spare, written
 
 #: Words of a window.
 WINDOW = 13
-#: Bytes of benchmark text in one broadcast block; a larger benchmark is scanned in several blocks.
-BLOCK_BYTES = 32 << 20
+#: Windows, and bytes of their words, in one broadcast block at most (a window takes its bytes and about 24 more).
+BLOCK_WINDOWS, BLOCK_BYTES = 400_000, 40 << 20
 
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 
 
-def item_windows(item_id: object, text: str | None, window: int = WINDOW) -> dict[bytes, int]:
-    """The distinct windows of an item, each as its words joined by blanks, with its length in words."""
-    words = _WORD.findall((text or "").encode().lower())
-    if item_id is None or not words:
-        return {}
-    n = min(window, len(words))
-    return {b" ".join(words[i : i + n]): n for i in range(len(words) - n + 1)}
+def _windows(benchmark: DataFrame, item_id: str, text: str, window: int) -> DataFrame:
+    """item, n (words), h (hash), w (the words, lower-cased and joined by blanks) of the distinct windows of every item."""
+
+    def run(batches):
+        for batch in C.slices(batches, "text"):
+            words = C.Words(*C.text_buffer(batch.column(1)), C.ALNUM)
+            hashes = words.hashes(lower=True)
+            size = words.ends - words.starts + 1
+            at = np.zeros(len(words) + 1, dtype=np.int64)
+            np.cumsum(size, out=at[1:])
+            normal = C.ASCII_LOWER[words.data[np.minimum(np.arange(at[-1]) + np.repeat(words.starts - at[:-1], size), max(len(words.data) - 1, 0))]]
+            normal[at[1:] - 1] = 0x20
+            for n in range(1, window + 1):
+                first, h = words.windows(hashes, n)
+                if n < window:
+                    own = words.counts[words.row[first]] == n
+                    first, h = first[own], h[own]
+                for low in range(0, len(first), 10_000):
+                    f, end = first[low : low + 10_000], at[first[low : low + 10_000] + n] - 1
+                    raw = [normal[a:b].tobytes() for a, b in zip(at[f].tolist(), end.tolist(), strict=True)]
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(words.row[f])), pa.array(np.full(len(f), n)), pa.array(h[low : low + 10_000].view(np.int64)), pa.array(raw, pa.binary())], names=["item", "n", "h", "w"])
+
+    items = benchmark.where(F.col(item_id).isNotNull()).select(F.col(item_id).cast("string").alias("item"), F.col(text).alias("text"))
+    return items.mapInArrow(run, "item string, n long, h long, w binary").distinct()
 
 
 class WindowSet:
-    """Windows of a block of items: window text -> item ids, and sorted hashes by window length."""
-
-    def __init__(self, rows: list[tuple[object, str | None]], window: int = WINDOW):
-        self.items: dict[bytes, set[str]] = {}
-        by_length: dict[int, list[bytes]] = {}
-        for item_id, text in rows:
-            for key, n in item_windows(item_id, text, window).items():
-                if key not in self.items:
-                    by_length.setdefault(n, []).append(key)
-                self.items.setdefault(key, set()).add(str(item_id))
-        self.tables = {n: self._table(keys, n) for n, keys in by_length.items()}
-
-    @staticmethod
-    def _table(keys: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
-        data = np.frombuffer(b"".join(keys), dtype=np.uint8)
-        offsets = np.concatenate([[0], np.cumsum([len(k) for k in keys])])
-        words = C.Words(data, offsets, C.ALNUM)
-        _, hashes = words.windows(words.hashes(), n)
-        bits = np.zeros(1 << 20, dtype=bool)
-        bits[hashes & np.uint64(len(bits) - 1)] = True
-        return np.sort(hashes), bits
+    """A block of windows: by length in words, sorted hashes with the places of each one's words and item."""
+
+    def __init__(self, rows: pa.Table):
+        rows = rows.combine_chunks()
+        self.items = rows.column("item").unique().sort()
+        item = np.asarray(pa.compute.index_in(rows.column("item"), self.items)).astype(np.int32)
+        n, h = rows.column("n").to_numpy(), rows.column("h").to_numpy().view(np.uint64)
+        data, offsets = C.text_buffer(rows.column("w").combine_chunks())
+        self.words = data.tobytes()
+        self.tables = {}
+        for k in np.unique(n).tolist():
+            at = np.flatnonzero(n == k)
+            at = at[np.argsort(h[at], kind="stable")]
+            self.tables[k] = (h[at], offsets[at].astype(np.int32), offsets[at + 1].astype(np.int32), item[at])
+
+    def __len__(self) -> int:
+        return sum(len(t[0]) for t in self.tables.values())
+
+    def nbytes(self) -> int:
+        return len(self.words) + sum(x.nbytes for t in self.tables.values() for x in t) + self.items.nbytes
+
+    def filters(self) -> dict[int, np.ndarray]:
+        """A table of flags over the low bits of the hashes, by length; made once a worker."""
+        if not hasattr(self, "_filters"):
+            self._filters = {}
+            for n, (hashes, *_) in self.tables.items():
+                flags = np.zeros(1 << max(12, min(22, (8 * len(hashes)).bit_length())), dtype=bool)
+                flags[hashes & np.uint64(len(flags) - 1)] = True
+                self._filters[n] = flags
+        return self._filters
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "_filters"}
 
     def hits(self, words: C.Words) -> tuple[np.ndarray, np.ndarray, dict[int, set[str]]]:
         """(first words, lengths) of the verified hits, and the item ids by text."""
         hashes = words.hashes(lower=True)
         places, lengths, items = [], [], {}
-        for n, (table, bits) in self.tables.items():
+        for n, (table, begin, end, item) in self.tables.items():
+            flags = self.filters()[n]
             at, h = words.windows(hashes, n)
-            maybe = bits[h & np.uint64(len(bits) - 1)]
+            maybe = flags[h & np.uint64(len(flags) - 1)]
             at, h = at[maybe], h[maybe]
-            found = at[table[np.minimum(np.searchsorted(table, h), len(table) - 1)] == h]
-            for i in found.tolist():
-                raw = words.data[words.starts[i] : words.ends[i + n - 1]].tobytes().lower()
-                ids = self.items.get(b" ".join(_WORD.findall(raw)))
-                if ids:
+            low, high = np.searchsorted(table, h), np.searchsorted(table, h, side="right")
+            for j in np.flatnonzero(high > low).tolist():
+                i = int(at[j])
+                said = b" ".join(_WORD.findall(words.data[words.starts[i] : words.ends[i + n - 1]].tobytes().lower()))
+                found = [int(item[e]) for e in range(low[j], high[j]) if self.words[begin[e] : end[e]] == said]
+                if found:
                     places.append(i)
                     lengths.append(n)
-                    items.setdefault(int(words.row[i]), set()).update(ids)
-        return np.array(places, dtype=np.int64), np.array(lengths, dtype=np.int64), items
+                    items.setdefault(int(words.row[i]), set()).update(found)
+        names = {i: self.items[i].as_py() for i in set().union(*items.values())} if items else {}
+        return np.array(places, dtype=np.int64), np.array(lengths, dtype=np.int64), {r: {names[i] for i in s} for r, s in items.items()}
 
 
 _SCAN_SCHEMA = "n_words long, hits array<struct<first:int,last:int,start:int,end:int>>, items array<string>"
+_HITS = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]))
 
 
-def _scan(docs: DataFrame, text: str, windows: WindowSet, keep: list[str]) -> DataFrame:
-    """docs with n_words, hits (merged runs of hit words: first and last word, byte span) and items."""
-    shared = docs.sparkSession.sparkContext.broadcast(windows)
+def _scan(docs: DataFrame, text: str, windows, keep: list[str]) -> DataFrame:
+    """The kept columns with n_words, hits (merged runs of hit words: first and last word, byte span) and items; windows: a broadcast WindowSet or None."""
+    kept = [f for f in docs.schema.fields if f.name in keep]
+    names = [f.name for f in kept]
 
     def run(batches):
-        windows = shared.value
         for batch in C.slices(batches, text):
             data, offsets = C.text_buffer(batch.column(batch.schema.get_field_index(text)))
             words = C.Words(data, offsets, C.ALNUM)
-            places, lengths, items = windows.hits(words)
+            places, lengths, items = windows.value.hits(words) if windows else ([], [], {})
             hits: list[list[dict]] = [[] for _ in range(batch.num_rows)]
             if len(places):
                 hit = C.covered(places, lengths, len(words))
@@ -106,50 +143,38 @@ def _scan(docs: DataFrame, text: str, windows: WindowSet, keep: list[str]) -> Da
                     row = int(words.row[a])
                     base, low = int(words.first[row]), int(offsets[row])
                     hits[row].append({"first": a - base, "last": b - base, "start": int(words.starts[a]) - low, "end": int(words.ends[b]) - low})
-            names = [n for n in batch.schema.names if n in keep]
             yield pa.RecordBatch.from_arrays(
                 [*[batch.column(batch.schema.get_field_index(n)) for n in names], pa.array(words.counts, pa.int64()), pa.array(hits, _HITS), pa.array([sorted(items.get(i, ())) for i in range(batch.num_rows)], pa.list_(pa.string()))],
                 names=[*names, "n_words", "hits", "items"],
             )
 
-    kept = [f for f in docs.schema.fields if f.name in keep]
-    return docs.mapInArrow(run, schema_with(kept, _SCAN_SCHEMA))
-
-
-_HITS = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]))
-
-
-def _blocks(benchmark: DataFrame, item_id: str, text: str, window: int, block_bytes: int):
-    """WindowSets of the benchmark, each of bounded size; the size is checked before anything is collected."""
-    total = benchmark.agg(F.sum(F.octet_length(text)).alias("b")).first()["b"] or 0
-    n = max(1, math.ceil(total / block_bytes))
+    rows = docs.select(*names, *([] if text in names else [text]))
+    return rows.mapInArrow(run, schema_with(kept, _SCAN_SCHEMA))
+
+
+def find_hits(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", keep: list[str], item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_windows: int = BLOCK_WINDOWS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The kept columns (none of them n_words, hits or items) of every document with n_words, hits and items."""
+    spark = docs.sparkSession
+    windows = written(_windows(benchmark, item_id, item_text, window), "benchmark-windows")
+    size = windows.agg(F.count("*").alias("n"), F.sum(F.octet_length("w")).alias("b")).first()
+    n = max(1, math.ceil(size["n"] / block_windows), math.ceil((size["b"] or 0) / block_bytes))
+    if n == 1:
+        return _scan(docs, text, spark.sparkContext.broadcast(WindowSet(windows.toArrow())), keep)
+    digest, same = spare([*docs.columns, "n_words", "hits", "items"], "digest", "same")
+    named = docs.withColumn(digest, F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))))
+    parts = []
     for b in range(n):
-        part = benchmark if n == 1 else benchmark.where(F.pmod(F.xxhash64(item_id, text), F.lit(n)) == b)
-        yield WindowSet([(r[0], r[1]) for r in part.select(item_id, text).toLocalIterator()], window)
-
-
-def find_hits(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", keep: list[str], item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The kept columns of every document with n_words, hits and items.
-
-    A benchmark beyond ``block_bytes`` is scanned block by block; the hits of one
-    document are merged from the rows of documents that a block hit.
-    """
-    blocks = list(_blocks(benchmark, item_id, item_text, window, block_bytes))
-    if len(blocks) == 1:
-        return _scan(docs, text, blocks[0], keep)
-    key = "__row"
-    numbered = docs.withColumn(key, F.monotonically_increasing_id())
-    scans = [_scan(numbered, text, b, [*keep, key]) for b in blocks]
-    first, rest = scans[0], scans[1:]
-    for more in rest:
-        first = first.unionByName(more)
-    merged = first.groupBy(key).agg(
-        *[F.first(c, ignorenulls=False).alias(c) for c in keep],
-        F.max("n_words").alias("n_words"),
-        F.flatten(F.collect_list("hits")).alias("hits"),
-        F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"),
-    )
-    return merged.drop(key)
+        block = spark.sparkContext.broadcast(WindowSet(windows.where(F.pmod(F.xxhash64("h", "n"), F.lit(n)) == b).toArrow()))
+        parts.append(written(_scan(named, text, block, [digest]).where(F.size("items") > 0).dropDuplicates([digest]), "benchmark-hits"))
+        block.destroy()
+    found = parts[0]
+    for more in parts[1:]:
+        found = found.unionByName(more)
+    found = found.groupBy(F.col(digest).alias(same)).agg(F.flatten(F.collect_list("hits")).alias("hits"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+    counts = _scan(named, text, None, [*keep, digest]).drop("hits", "items")
+    merged = counts.join(found, F.col(digest) == F.col(same), "left")
+    none = F.array()
+    return merged.select(*keep, "n_words", F.coalesce("hits", none.cast(found.schema["hits"].dataType)).alias("hits"), F.coalesce("items", none.cast("array<string>")).alias("items"))
 
 
 def n_hit() -> F.Column:
@@ -173,39 +198,41 @@ def judged(found: DataFrame) -> DataFrame:
     )
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", window: int = WINDOW) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", **options) -> DataFrame:
     """Drop contaminated documents and cut the hit spans from the others; all columns stay.
 
     A null text stays null.  ``n_chars``, where present, is set anew for cut texts.
     """
-    names = docs.columns
-    packed = docs.select(F.struct(*names).alias("__row"), F.col(text).alias("__text"))
-    found = judged(find_hits(packed, benchmark, text="__text", keep=["__row", "__text"], window=window)).where(~F.col("contaminated"))
-    kept = [f for f in found.schema.fields if f.name == "__row"]
+    names, types = docs.columns, [f.dataType for f in docs.schema.fields]
+    rows = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    body = f"c{names.index(text)}"
+    found = judged(find_hits(rows, benchmark, text=body, keep=rows.columns, **options)).where(~F.col("contaminated")).select(*rows.columns, "hits")
+    at, last = names.index(text), len(names)
 
     def run(batches):
-        for batch in batches:
-            texts = batch.column(1).to_pylist()
-            out = []
-            for t, spans in zip(texts, batch.column(2).to_pylist(), strict=True):
-                if t is None or not spans:
-                    out.append(t)
-                    continue
-                raw, at, parts = t.encode(), 0, []
-                for h in sorted(spans, key=lambda h: h["start"]):
-                    if h["start"] > at:
-                        parts.append(raw[at : h["start"]])
-                    at = max(at, h["end"])
-                out.append((b"".join(parts) + raw[at:]).decode())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string()), pa.array([bool(s) for s in batch.column(2).to_pylist()])], names=["__row", "__text", "__cut"])
-
-    cut = found.select("__row", "__text", "hits").mapInArrow(run, schema_with(kept, "__text string, __cut boolean"))
+        for batch in C.slices(batches, body):
+            spans = batch.column(last)
+            out = batch.column(at)
+            hit = [i for i, n in enumerate(pa.compute.list_value_length(spans).to_pylist()) if n]
+            if hit:
+                texts = out.to_pylist()
+                for i in hit:
+                    raw, reach, parts = texts[i].encode(), 0, []
+                    for h in sorted(spans[i].as_py(), key=lambda h: h["start"]):
+                        if h["start"] > reach:
+                            parts.append(raw[reach : h["start"]])
+                        reach = max(reach, h["end"])
+                    texts[i] = (b"".join(parts) + raw[reach:]).decode()
+                out = pa.array(texts, pa.string())
+            flags = np.zeros(batch.num_rows, dtype=bool)
+            flags[hit] = True
+            yield pa.RecordBatch.from_arrays([*[out if i == at else batch.column(i) for i in range(last)], pa.array(flags)], names=[*batch.schema.names[:last], "cut"])
+
+    cut = found.mapInArrow(run, schema_with(list(rows.schema.fields), "cut boolean"))
     columns = []
-    for n in names:
-        value = F.col("__row").getField(n)
-        if n == text:
-            value = F.col("__text")
-        elif n == "n_chars":
-            value = F.when(F.col("__cut"), F.length("__text").cast(dict(docs.dtypes)[n])).otherwise(value)
+    for i, n in enumerate(names):
+        value = F.col(f"c{i}")
+        if n == "n_chars":
+            value = F.when(F.col("cut"), F.length(body).cast(types[i])).otherwise(value)
         columns.append(value.alias(n))
     return cut.select(*columns)

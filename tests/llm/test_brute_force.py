@@ -253,7 +253,7 @@ def test_archives(spark):
         list(archives.read_arc(b"http://a/ 1 2\n"))
 
 
-@pytest.mark.parametrize("block", [32 << 20, 300])
+@pytest.mark.parametrize("block", [1 << 20, 20])
 def test_decontamination(spark, docs, rows, none, block):
     base = texts()[3]
     items = [(1, " ".join(base.split(" ")[10:40])), (1, "ONE two"), (10, "one two"), (2, None), (3, "..."), (None, base), (4, " ".join(base.split(" ")[30:70]))]
@@ -275,14 +275,36 @@ def test_decontamination(spark, docs, rows, none, block):
                     hit |= set(range(i, i + n))
                     found |= windows[tuple(w[i : i + n])]
         want.append((str(r[0]), (len(hit) > 0 and 20 * len(hit) >= len(w), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), len(hit), len(found), len(w))))
-    got = decontaminate.judged(decontaminate.find_hits(docs, benchmark, keep=["doc_id"], block_bytes=block)).drop("hits", "items")
+    got = decontaminate.judged(decontaminate.find_hits(docs, benchmark, keep=["doc_id"], block_windows=block)).drop("hits", "items")
     assert as_bag(got) == sorted(want)
-    kept = decontaminate.decontaminate(docs, benchmark)
-    assert kept.columns == docs.columns and kept.count() == sum(not w[1][0] for w in want)
+    kept = decontaminate.decontaminate(docs, benchmark, block_windows=block)
+    assert kept.columns == docs.columns and kept.dtypes == docs.dtypes
+    left = collections.Counter((str(r["doc_id"]), r["text"], r["n_chars"]) for r in kept.collect())
+    cut = collections.Counter()
+    for r, w in zip(rows, want):
+        if not w[1][0]:
+            said = [m.span() for m in TERM.finditer(r[1] or "")]
+            hit = {i + j for n in {len(x) for x in windows} for i in range(len(said) - n + 1) if tuple(words(r[1])[i : i + n]) in windows for j in range(n)}
+            runs = [i for i in sorted(hit) if i - 1 not in hit]
+            t, back = r[1], 0
+            for i in reversed(runs):
+                j = next(j for j in range(i, len(said)) if j + 1 not in hit)
+                t, back = t[: said[i][0]] + t[said[j][1] :], 1
+            cut[(str(r[0]), t, len(t) if back else r[4])] += 1
+    assert left == cut
     assert decontaminate.decontaminate(none, benchmark).count() == 0
     assert decontaminate.decontaminate(docs, benchmark.where("false")).count() == len(rows)
 
 
+def test_window_blocks_are_small(spark):
+    rng = random.Random(2)
+    items = [(i, " ".join(f"w{rng.randrange(5000)}" for _ in range(400))) for i in range(300)]
+    rows = decontaminate._windows(spark.createDataFrame(items, "item_id long, text string"), "item_id", "text", 13).toArrow()
+    block = decontaminate.WindowSet(rows)
+    assert len(block) == 300 * 388
+    assert block.nbytes() < 110 * len(block)  # of which about 75 are the window's words
+
+
 def test_licenses(docs, rows, none):
     got = {str(r["doc_id"]): r for r in licenses.scan_licenses(docs).collect()}
     for r in rows:
