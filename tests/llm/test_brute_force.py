@@ -231,6 +231,38 @@ def test_deficits_hold_the_mixture():
         assert (np.abs(used - shares * 1000 * (w + 1)) <= 1200).all()
 
 
+def test_mixture_unlike_the_corpus(spark, tokenizer):
+    rng = random.Random(6)
+    word = ["soil", "tree", "water", "plot", "leaf"]
+    rows = [(i, " ".join(rng.choice(word) for _ in range(rng.randrange(5, 60))), "a" if rng.random() < 0.85 else "b" if rng.random() < 0.9 else None) for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for mixture in ({"a": 1, "b": 1}, {"b": 3, "a": 1}, {None: 1, "b": 1}):
+        got = packing.pack(df, mixture=mixture, width=512, block_tokens=8192).collect()
+        assert sum(r["length"] for r in got) == sum(len(tokenizer.encode(t, add_special_tokens=False).ids) + 1 for _, t, _ in rows)
+        size = collections.Counter()
+        for _, t, s in rows:
+            size[s] += len(tokenizer.encode(t, add_special_tokens=False).ids) + 1
+        used, parts = collections.Counter(), sorted((r["sequence_id"], r["offset"], r["source"], r["length"]) for r in got)
+        until = min(size[s] / (x / sum(mixture.values())) for s, x in mixture.items())  # tokens out when the first source is used up
+        worst = {}
+        for n, (_, group) in enumerate(itertools.groupby(parts, key=lambda p: p[0]), 1):
+            for _, _, s, length in group:
+                used[s] += length
+            if sum(used.values()) < 0.85 * until:
+                for s, x in mixture.items():
+                    worst[s] = max(worst.get(s, 0), abs(used[s] - x / sum(mixture.values()) * sum(used.values())))
+        assert all(w < 1500 for w in worst.values()), (mixture, worst)
+        again = packing.pack(df.repartition(7), mixture=mixture, width=512, block_tokens=8192).collect()
+        assert sorted(map(tuple, again)) == sorted(map(tuple, got))
+
+
+def test_equal_rows_spread_over_blocks(spark):
+    df = spark.range(3000).selectExpr("cast(null as long) as doc_id", "'the same words in every row' as text", "'a' as source")
+    got = packing.pack(df, width=64, block_tokens=2048).groupBy("sequence_id").agg(F.sum("length").alias("n")).collect()
+    assert sorted(r["sequence_id"] for r in got) == list(range(len(got))) and sum(r["n"] for r in got) == 3000 * 7
+    assert sum(r["n"] < 64 for r in got) <= -(-3000 * 7 // 2048)
+
+
 def test_archives(spark):
     big = "<p>" + "é" * 80
     rows = [(3, "http://a/x y", big), (1, "http://b/", big), (2, None, big), (4, "http://c/", "short"), (5, "http://d/", "short"), (6, "u", None), (1, "http://b/", big), (None, "n", "z" * 120)]
