@@ -3,10 +3,12 @@
 Every document is a point over its metadata dimensions.  A node that still holds more
 than one shard is split along the dimension in which its points spread widest (of the
 whole table's spread), where the bytes on the left reach the left side's part of the
-shards.  Ties in a dimension are ordered by a hash of the row, so a split can fall
-inside any group of equal values, equal texts included.  Medians are found by
-histograms of at most ``BINS`` cells a node, zoomed in until the split cell holds under
-``TOLERANCE`` of a shard; only histograms reach the driver.
+shards.  Texts count by the bytes of all smaller values, so whole strings are ordered,
+however much they have in common.  Ties in a dimension are ordered by a hash of the row, so
+a split can fall inside any group of equal values, equal texts included.  Medians are found
+by histograms of at most ``BINS`` cells a node, zoomed in until the split cell holds under
+``TOLERANCE`` of a shard; the cell is picked inside Spark, and one row a node reaches the
+driver, which is bounded by the number of shards.
 
 Defined results: null metadata counts as the lowest value; a null text has no bytes;
 repeated rows are points of their own; with fewer rows than shards some shards are empty.
@@ -14,8 +16,6 @@ repeated rows are points of their own; with fewer rows than shards some shards a
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,121 +23,119 @@ from .storage import written
 
 BINS = 2048
 TOLERANCE = 1e-3
-ROUNDS = 5
 #: Bytes counted for a row besides its text.
 ROW_BYTES = 16
 #: Rows numbered together when slots are given.
 SLOT_ROWS = 50_000
+#: Rows of a table about nodes that are broadcast at most.
+BROADCAST_NODES = 500_000
+#: Levels of the tree after which the points are written, to keep plans short.
+WRITE_LEVELS = 4
 _HALF = 31
-
-
-@dataclass
-class Node:
-    """An inner node (split on ``dim`` below ``cut``) or a leaf; ``number`` marks rows while the tree grows."""
-
-    shards: int
-    first: int
-    number: int = 0
-    dim: int = -1
-    cut: int = 0
-    left: Node | None = None
-    right: Node | None = None
-
-    def leaves(self) -> list[Node]:
-        return [self] if self.left is None else self.left.leaves() + self.right.leaves()
-
-    def place(self, value) -> Column:
-        """The expression of ``value(leaf)`` for a row."""
-        if self.left is None:
-            return F.lit(value(self))
-        return F.when(F.col(f"c{self.dim}") < self.cut, self.left.place(value)).otherwise(self.right.place(value))
-
-
-def coordinate(column: str, kind: str) -> Column:
-    """A number that orders a metadata column: strings by their first six bytes, numbers by their logarithm."""
-    if kind == "string":
-        return F.coalesce(F.conv(F.hex(F.substring(F.rpad(F.col(column).cast("binary"), 6, F.lit(b"\0")), 1, 6)), 16, 10).cast("double"), F.lit(-1.0))
-    return F.coalesce(F.log2(1 + F.greatest(F.col(column).cast("double"), F.lit(0.0))), F.lit(-1.0))
-
-
-def _grow(points: DataFrame, root: Node, dims: int, tolerance: float) -> None:
-    """Split every leaf of more than one shard, level by level."""
-    while todo := [leaf for leaf in root.leaves() if leaf.shards > 1]:
-        for i, leaf in enumerate(root.leaves()):
-            leaf.number = i
-        marked = points.withColumn("node", root.place(lambda leaf: leaf.number))
-        spread = {r["node"]: r for r in marked.groupBy("node").agg(F.sum("size").alias("w"), *[f(f"c{d}").alias(f"{n}{d}") for d in range(dims) for n, f in (("lo", F.min), ("hi", F.max))]).collect()}
-        search = {}
-        for leaf in todo:
-            row = spread.get(leaf.number)
-            leaf.dim = 0
-            leaf.cut = 0
-            if row is not None:
-                leaf.dim = max(range(dims), key=lambda d: ((row[f"hi{d}"] >> _HALF) - (row[f"lo{d}"] >> _HALF), -d))
-                search[leaf.number] = [leaf, row[f"lo{leaf.dim}"], row[f"hi{leaf.dim}"], row["w"] * (leaf.shards // 2) / leaf.shards, row["w"] / leaf.shards]
-                leaf.cut = row[f"lo{leaf.dim}"]
-        for _ in range(ROUNDS):
-            if not search:
-                break
-            known = [search.get(i, [Node(0, 0), 1, 0]) for i in range(len(root.leaves()))]
-            here = F.col("node") + 1
-            value = F.element_at(F.array(*[F.col(f"c{d}") for d in range(dims)]), F.element_at(F.array(*[F.lit(max(k[0].dim, 0) + 1) for k in known]), here))
-            low, high, step = (F.element_at(F.array(*[F.lit(x).cast("long") for x in xs]), here) for xs in ([k[1] for k in known], [k[2] for k in known], [(k[2] - k[1]) // BINS + 1 for k in known]))
-            cells = marked.select("node", "size", value.alias("v"), low.alias("lo"), high.alias("hi"), step.alias("step")).where("v between lo and hi")
-            cells = cells.groupBy("node", F.expr("(v - lo) div step").alias("cell")).agg(F.sum("size").alias("w"), F.min("v").alias("lo"), F.max("v").alias("hi"))
-            by_node: dict[int, list] = {}
-            for r in cells.collect():
-                by_node.setdefault(r["node"], []).append(r)
-            for number in list(search):
-                leaf, _, _, target, unit = search[number]
-                for r in sorted(by_node.get(number, []), key=lambda r: r["cell"]):
-                    if r["w"] < target:
-                        target -= r["w"]
-                        leaf.cut = r["hi"] + 1
-                        continue
-                    if r["w"] <= tolerance * unit or r["lo"] == r["hi"]:
-                        leaf.cut = r["lo"] if target < r["w"] / 2 else r["hi"] + 1
-                        del search[number]
-                    else:
-                        leaf.cut = r["lo"]
-                        search[number] = [leaf, r["lo"], r["hi"], target, unit]
-                    break
+_NUMBERS = ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal")
+
+
+def _number(column: str) -> Column:
+    """Numbers by their logarithm, either side of 0."""
+    x = F.col(column).cast("double")
+    return F.signum(x) * F.log2(1 + F.abs(x))
+
+
+def _text_places(points: DataFrame, column: str) -> DataFrame:
+    """value, place: the bytes of all smaller values, for each distinct text of a column."""
+    sums = points.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.sum("size").alias("w"))
+    parts = written(sums.repartitionByRange(F.col("value")).withColumn("part", F.spark_partition_id()), "kd-values")
+    ahead = lambda w: F.coalesce(F.sum("w").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    before = parts.groupBy("part").agg(F.sum("w").alias("w")).select("part", ahead(Window.orderBy("part")).alias("before"))
+    inside = parts.select("part", "value", ahead(Window.partitionBy("part").orderBy("value")).alias("inside"))
+    return inside.join(F.broadcast(before), "part").select("value", (F.col("before") + F.col("inside")).cast("double").alias("place"))
+
+
+def _node_table(points: DataFrame, rows: list[tuple], schema: str) -> DataFrame:
+    table = points.sparkSession.createDataFrame(rows, schema)
+    return F.broadcast(table) if len(rows) <= BROADCAST_NODES else table
+
+
+def _grow(points: DataFrame, shards: int, dims: int, tolerance: float) -> DataFrame:
+    """points (size, c0, c1, ...) with shard: nodes of more than one shard are split, level by level."""
+    points = points.withColumn("node", F.lit(1 if shards > 1 else -1).cast("long"))
+    todo = {1: (0, shards)} if shards > 1 else {}
+    value = F.element_at(F.array(*[F.col(f"c{d}") for d in range(dims)]), F.col("dim") + 1)
+    level = 0
+    while todo:
+        active = points.where("node > 0")
+        found = active.groupBy("node").agg(F.sum("size").alias("w"), *[f(f"c{d}").alias(f"{n}{d}") for d in range(dims) for n, f in (("lo", F.min), ("hi", F.max))]).collect()
+        search, unit, dim, cuts = {}, {}, {}, {}
+        for r in found:
+            node, (_, n) = r["node"], todo[r["node"]]
+            dim[node] = max(range(dims), key=lambda d, r=r: ((r[f"hi{d}"] >> _HALF) - (r[f"lo{d}"] >> _HALF), -d))
+            search[node] = (r[f"lo{dim[node]}"], r[f"hi{dim[node]}"], r["w"] * (n // 2) / n)
+            unit[node] = r["w"] / n
+        while search:
+            table = _node_table(points, [(n, dim[n], lo, hi, (hi - lo) // BINS + 1, target) for n, (lo, hi, target) in search.items()], "node long, dim int, lo long, hi long, step long, target double")
+            cells = active.join(table, "node").withColumn("v", value).where("v between lo and hi")
+            cells = cells.groupBy("node", "target", F.expr("(v - lo) div step").alias("cell")).agg(F.sum("size").alias("w"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+            ahead = Window.partitionBy("node").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+            picked = cells.withColumn("before", F.coalesce(F.sum("w").over(ahead), F.lit(0))).where("before < target and before + w >= target")
+            for r in picked.collect():
+                left = r["target"] - r["before"]
+                if r["w"] <= tolerance * unit[r["node"]] or r["lo"] == r["hi"]:
+                    cuts[r["node"]] = r["lo"] if left < r["w"] / 2 else r["hi"] + 1
+                    del search[r["node"]]
                 else:
-                    search.pop(number, None)
-        for leaf in todo:
-            half = leaf.shards // 2
-            leaf.left, leaf.right = Node(half, leaf.first), Node(leaf.shards - half, leaf.first + half)
+                    search[r["node"]] = (r["lo"], r["hi"], left)
+        below, rows = {}, []
+        for node, cut in cuts.items():
+            first, n = todo[node]
+            sides = []
+            for number, at, size in ((2 * node, first, n // 2), (2 * node + 1, first + n // 2, n - n // 2)):
+                if size > 1:
+                    below[number] = (at, size)
+                sides.append(number if size > 1 else -1 - at)
+            rows.append((node, dim[node], cut, *sides))
+        if rows:
+            moved = points.join(_node_table(points, rows, "node long, dim int, cut long, low long, high long"), "node", "left")
+            points = moved.withColumn("node", F.when(F.col("cut").isNull(), F.col("node")).when(value < F.col("cut"), F.col("low")).otherwise(F.col("high"))).drop("dim", "cut", "low", "high")
+        todo, level = below, level + 1
+        if level % WRITE_LEVELS == 0 and todo:
+            points = written(points, "kd-points")
+    return points.withColumn("shard", (-1 - F.col("node")).cast("int")).drop("node")
 
 
 def kd_shards(docs: DataFrame, *, shards: int | None = None, target_bytes: int | None = None, key: str = "doc_id", text: str = "text", dims: tuple[str, ...] = ("lang", "source", "n_chars"), tolerance: float = TOLERANCE) -> DataFrame:
     """key, size, text_crc32, shard and slot of every row; ``target_bytes`` sets the number of shards where it isn't given."""
     kinds = dict(docs.dtypes)
     dims = tuple(d for d in dims if d in kinds)
+    numeric = [kinds[d].split("(")[0] in _NUMBERS for d in dims]
     light = docs.select(
         F.col(key).alias("key"),
         (F.coalesce(F.octet_length(text), F.lit(0)) + ROW_BYTES).cast("long").alias("size"),
         F.crc32(F.coalesce(F.col(text).cast("binary"), F.lit(b""))).alias("text_crc32"),
-        *[coordinate(d, kinds[d]).alias(f"d{i}") for i, d in enumerate(dims)],
+        *[(_number(d) if number else F.col(d).cast("string")).alias(f"d{i}") for i, (d, number) in enumerate(zip(dims, numeric, strict=True))],
     )
     light = written(light, "kd-points")
+    again = not light.groupBy("key", "size", "text_crc32").count().where("count > 1").isEmpty()
+    light = light.withColumn("tie", F.shiftrightunsigned(F.xxhash64("key", "size", "text_crc32", *([F.monotonically_increasing_id()] if again else [])), 64 - _HALF))
+    for i, number in enumerate(numeric):
+        if not number:
+            places = _text_places(light, f"d{i}")
+            light = light.join(places, light[f"d{i}"] == places["value"], "left").drop("value", f"d{i}").withColumnRenamed("place", f"d{i}")
     n = max(1, len(dims))
     edges = light.agg(F.sum("size").alias("w"), F.count("*").alias("n"), *[f(f"d{i}").alias(f"{name}{i}") for i in range(len(dims)) for name, f in (("lo", F.min), ("hi", F.max))]).first()
     if shards is None:
         shards = max(1, -(-int(edges["w"] or 0) // int(target_bytes or 1 << 30)))
-    tie = F.shiftrightunsigned(F.xxhash64("key", "size", "text_crc32"), 64 - _HALF)
     coords = []
     for i in range(n):
         if dims and edges[f"lo{i}"] is not None and edges[f"hi{i}"] > edges[f"lo{i}"]:
-            scaled = F.floor((F.col(f"d{i}") - edges[f"lo{i}"]) / (edges[f"hi{i}"] - edges[f"lo{i}"]) * (2**_HALF - 1)).cast("long")
+            scaled = F.floor((F.col(f"d{i}") - edges[f"lo{i}"]) / (edges[f"hi{i}"] - edges[f"lo{i}"]) * (2**_HALF - 2)).cast("long") + 1
+            scaled = F.coalesce(scaled, F.lit(0).cast("long"))
         else:
-            scaled = F.lit(0).cast("long")
-        coords.append((F.shiftleft(scaled, _HALF) + tie).alias(f"c{i}"))
-    points = light.select("key", "size", "text_crc32", *coords)
-    root = Node(shards, 0)
-    _grow(points, root, n, tolerance)
-    placed = points.select("key", "size", "text_crc32", root.place(lambda leaf: leaf.first).alias("shard"))
+            scaled = F.when(F.col(f"d{i}").isNull(), 0).otherwise(1).cast("long") if dims else F.lit(0).cast("long")
+        coords.append((F.shiftleft(scaled, _HALF) + F.col("tie")).alias(f"c{i}"))
+    points = written(light.select("key", "size", "text_crc32", *coords), "kd-coordinates")
+    placed = _grow(points, shards, n, tolerance).select("key", "size", "text_crc32", "shard")
     parts = max(1, -(-int(edges["n"] or 0) // SLOT_ROWS))
-    placed = placed.withColumn("part", F.pmod(F.xxhash64("key", "text_crc32", "size"), F.lit(parts)))
+    placed = written(placed.withColumn("part", F.pmod(F.xxhash64("key", "text_crc32", "size", F.monotonically_increasing_id()), F.lit(parts))), "kd-placed")
     counts = placed.groupBy("shard", "part").count()
     before = counts.select("shard", "part", (F.sum("count").over(Window.partitionBy("shard").orderBy("part")) - F.col("count")).alias("before"))
     numbered = placed.withColumn("inside", F.row_number().over(Window.partitionBy("shard", "part").orderBy("key", "text_crc32", "size")) - 1)

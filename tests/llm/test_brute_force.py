@@ -132,6 +132,48 @@ def test_kd_shards(docs, rows, none):
     assert kd_shards.kd_shards(docs, target_bytes=10**9).where("shard > 0").count() == 0
 
 
+def kd_brute(points, shards, first=0):
+    """Plain k-d tree over (size, coordinates): shard of each point."""
+    if shards == 1 or not points:
+        return {i: first for i, _, _ in points}
+    spread = [max(c[d] >> 31 for _, _, c in points) - min(c[d] >> 31 for _, _, c in points) for d in range(len(points[0][2]))]
+    d = max(range(len(spread)), key=lambda d: (spread[d], -d))
+    points = sorted(points, key=lambda p: p[2][d])
+    target, done, at = sum(s for _, s, _ in points) * (shards // 2) / shards, 0, 0
+    while done + points[at][1] < target:
+        done += points[at][1]
+        at += 1
+    at += not (target - done < points[at][1] / 2)
+    return kd_brute(points[:at], shards // 2, first) | kd_brute(points[at:], shards - shards // 2, first + shards // 2)
+
+
+def test_kd_tree_against_plain_splits(spark, monkeypatch):
+    rng = random.Random(7)
+    rows = [(i, "t" * rng.randrange(1, 400), rng.choice(["de", "en", "en", None]), f"common-source-{rng.randrange(9)}", rng.randrange(1, 10**6)) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    seen, real = [], kd_shards._grow
+    monkeypatch.setattr(kd_shards, "_grow", lambda points, *rest: seen.append(points) or real(points, *rest))
+    monkeypatch.setattr(kd_shards, "BINS", 4)
+    for shards in (2, 7, 40):
+        got = {r["doc_id"]: r["shard"] for r in kd_shards.kd_shards(df, shards=shards, tolerance=0).collect()}
+        points = [(r["key"], r["size"], [r[f"c{d}"] for d in range(3)]) for r in seen[-1].collect()]
+        order = [sorted(points, key=lambda p: p[2][d]) for d in range(3)]
+        assert [rows[p[0]][3] for p in order[1]] == sorted(r[3] for r in rows)
+        assert [rows[p[0]][2] or "" for p in order[0]] == sorted(r[2] or "" for r in rows) and [rows[p[0]][4] for p in order[2]] == sorted(r[4] for r in rows)
+        assert got == kd_brute(points, shards)
+
+
+def test_kd_sees_whole_strings_and_splits_equal_rows(spark):
+    df = spark.range(4000).selectExpr("id as doc_id", "'x' as text", "concat('common-source-', id % 4) as source")
+    got = kd_shards.kd_shards(df, shards=4, dims=("source",)).join(df, "doc_id")
+    assert got.groupBy("source").agg(F.countDistinct("shard").alias("n")).where("n > 1").count() == 0
+    same = spark.range(1000).selectExpr("cast(null as long) as doc_id", "'x' as text", "'a' as source", "cast(1 as long) as n_chars", "current_date() as lang")
+    counts = [r["count"] for r in kd_shards.kd_shards(same, shards=8).groupBy("shard").count().collect()]
+    assert sorted(counts) == [125] * 8
+    many = kd_shards.kd_shards(df, target_bytes=64)
+    assert many.groupBy("shard").count().agg(F.max("count"), F.count("*")).first()[0] <= 5
+
+
 @pytest.fixture(scope="module")
 def tokenizer():
     from tokenizers import Tokenizer
