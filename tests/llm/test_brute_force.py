@@ -319,12 +319,53 @@ def test_archives(spark):
     first = next(r for r in got if r["page_id"] == 1)
     assert all(r["refers_to_id"] == first["record_id"] for r in got if r["record_type"] == "revisit")
     assert archives.archive_round_trip(pages.where("false")).count() == 0
+    assert len({r["record_id"] for r in got}) == len(rows)
+
+
+def test_arc_records(spark, tmp_path):
     body = b"HTTP/1.1 200 OK\r\n\r\nhi\nthere"
     for v in (1, 2):
-        content = archives.arc_start(v, "f.arc", "20040101000000") + b"\n" + archives.arc_header(v, "http://a/", "1.2.3.4", "20040101000000", "text/html", len(body), 0, "f.arc") + body + b"\n"
-        assert [c for _, c in archives.read_arc(content)] == [body]
-    with pytest.raises(ValueError):
-        list(archives.read_arc(b"http://a/ 1 2\n"))
+        start = archives.arc_start(v, "f.arc", "20040101000000") + b"\n"
+        content = start + archives.arc_header(v, "http://a/with blanks in it", "1.2.3.4", "20040101000000", "text/html", len(body), 0, "f.arc") + body + b"\n"
+        content += archives.arc_header(v, "dns:a.example", "5.6.7.8", "20040102030405", "text/dns", 9, 0, "f.arc") + b"some dns\n" + b"\n"
+        (info, _), *records = archives.read_arc(content)
+        assert info["URL"] == "filedesc://f.arc" and [c for _, c in records] == [body, b"some dns\n"] and records[0][0]["URL"] == "http://a/with blanks in it"
+        out = [h for r in archives.converted(content, {}) for h, _ in archives.read_warc(r)]
+        assert [h["warc-type"] for h in out] == ["warcinfo", "response", "resource"]
+        assert out[1]["warc-target-uri"] == "http://a/with%20blanks%20in%20it" and out[1]["warc-ip-address"] == "1.2.3.4" and out[1].get("x-arc-result-code") == (None if v == 1 else "200")
+        assert out[2]["content-type"] == "text/dns" and out[2]["warc-date"] == "2004-01-02T03:04:05Z" and out[2]["warc-warcinfo-id"] == out[0]["warc-record-id"]
+        assert [c for _, c in archives.read_arc(archives.gzip.compress(content))] == [c for _, c in archives.read_arc(content)]
+    for broken in (b"http://a/ 1 2\n", start + b"http://a/ 1.2.3.4 x y z\n", start + b"http://a/ 1.2.3.4 2004 text/html 99\nshort"):
+        with pytest.raises(ValueError):
+            list(archives.read_arc(broken))
+
+
+def test_archives_with_hot_payloads_and_odd_columns(spark, tmp_path, monkeypatch):
+    big = "é" * 90
+    pages = spark.range(300).selectExpr("id as page_id", "'http://a/' as url", f"case when id % 3 = 0 then '{big}' when id % 3 = 1 then repeat(cast(id % 10 as string), 200) else repeat('x', 10000) || id end as html", "1 as digest", "'x' as file", "2 as n").unionByName(spark.sql(f"select cast(null as long) as page_id, 'u' as url, '{big}' as html, 1 as digest, 'x' as file, 2 as n union all select null, 'u', 'other', 1, 'x', 2"))
+    monkeypatch.setattr(archives, "ARC_BYTES", 20_000)
+    out = []
+    for copies, payloads in ((10_000, 100), (50, 100), (2, 0)):
+        monkeypatch.setattr(archives, "HOT_COPIES", copies)
+        monkeypatch.setattr(archives, "HOT_PAYLOADS", payloads)
+        got = archives.archive_round_trip(pages).collect()
+        assert len({r["record_id"] for r in got}) == 302
+        out.append(sorted((str(r["page_id"]), r["payload_digest"], r["record_type"], r["refers_to"]) for r in got))
+        assert collections.Counter(r["record_type"] for r in got) == {"response": 1 + 10 + 100 + 1, "revisit": 99 + 90 + 1}
+    assert out[0] == out[1] == out[2]
+    # Each record is a member of its own.
+    warc = str(tmp_path / "warc")
+    archives.write_arc(pages, str(tmp_path / "arc"))
+    archives.convert(spark, str(tmp_path / "arc"), warc)
+    import glob
+    import zlib as z
+
+    for f in glob.glob(warc + "/part-*"):
+        raw = open(f, "rb").read()
+        while raw:
+            d = z.decompressobj(31)
+            text, raw = d.decompress(raw), d.unused_data
+            assert text == b"" or len(list(archives.read_warc(text))) == 1
 
 
 @pytest.mark.parametrize("block", [1 << 20, 20])
