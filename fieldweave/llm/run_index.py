@@ -6,6 +6,10 @@ lengths of the common prefixes at both ends after that step.  That is enough to
 fragment from its end to its start and to know, at each place, how long a match starts
 there with the neighbouring suffixes: inside a run a step lengthens the match by one,
 at a run's end the sample says what is left.
+
+A fragment that occurs twice or more stands in the index with a twin: its rows are doubled,
+each twin's row right below the first one's.  They have the same letter, so the transform
+gains no run, which is what makes it small for repetitive text.
 """
 
 from __future__ import annotations
@@ -68,9 +72,9 @@ def common_prefix(symbols: np.ndarray, a: np.ndarray, b: np.ndarray, most: int)
 
 
 class RunIndex:
-    """Index over fragments; ``most`` caps the lengths of matches that are told apart."""
+    """Index over fragments, those flagged in ``twice`` with a twin; ``most`` caps the lengths of matches that are told apart."""
 
-    def __init__(self, fragments: list[bytes], most: int):
+    def __init__(self, fragments: list[bytes], most: int, twice: np.ndarray | None = None):
         self.most = most
         sizes = np.array([len(f) for f in fragments], dtype=np.int64)
         self.symbols = np.zeros(int(sizes.sum()) + len(fragments), dtype=np.int16)
@@ -79,29 +83,33 @@ class RunIndex:
         inside = np.ones(len(self.symbols), dtype=bool)
         inside[self.stop] = False
         self.symbols[inside] = np.frombuffer(b"".join(fragments), dtype=np.uint8).astype(np.int16) + 1
-        self._build()
+        self._build(np.repeat(1 + (np.zeros(len(sizes), dtype=np.int64) if twice is None else twice.astype(np.int64)), sizes + 1))
 
-    def _build(self) -> None:
+    def _build(self, times: np.ndarray) -> None:
+        """times: rows of the suffix at each place."""
         n = len(self.symbols)
         order = suffix_array(self.symbols)
-        row_of = np.empty(n, dtype=np.int64)
-        row_of[order] = np.arange(n)
+        rank = np.empty(n, dtype=np.int64)
+        rank[order] = np.arange(n)
+        first = np.zeros(n + 1, dtype=np.int64)  # row of each rank's first suffix, twins counted
+        np.cumsum(times[order], out=first[1:])
         letters = self.symbols[order - 1]
         heads = np.flatnonzero(np.concatenate([[True], letters[1:] != letters[:-1]]))
         tails = np.concatenate([heads[1:], [n]]) - 1
-        self.heads, self.tails = heads, tails
-        self.maps = row_of[order[heads] - 1]
+        self.rows = int(first[n])
+        self.heads, self.tails = first[heads], first[tails + 1] - 1
+        before, after = rank[order[heads] - 1], rank[order[tails] - 1]
+        self.maps = first[before]
         # Samples: the common prefixes of the mapped rows with the rows above and below.
-        before, after = self.maps, row_of[order[tails] - 1]
         above = np.where(before > 0, order[np.maximum(before - 1, 0)], -1)
         below = np.where(after < n - 1, order[np.minimum(after + 1, n - 1)], -1)
         self.at_head = common_prefix(self.symbols, order[before], above, self.most)
         self.at_tail = common_prefix(self.symbols, order[after], below, self.most)
-        # Entry rows: each fragment's separator, with its own neighbours.
-        rows = row_of[self.stop]
-        self.entry = rows
-        self.entry_above = common_prefix(self.symbols, self.stop, np.where(rows > 0, order[np.maximum(rows - 1, 0)], -1), self.most)
-        self.entry_below = common_prefix(self.symbols, self.stop, np.where(rows < n - 1, order[np.minimum(rows + 1, n - 1)], -1), self.most)
+        # Entry rows: each fragment's separator, with its own neighbours; a twin stands below.
+        entry = rank[self.stop]
+        self.entry = first[entry]
+        self.entry_above = common_prefix(self.symbols, self.stop, np.where(entry > 0, order[np.maximum(entry - 1, 0)], -1), self.most)
+        self.entry_below = common_prefix(self.symbols, self.stop, np.where((entry < n - 1) & (times[self.stop] == 1), order[np.minimum(entry + 1, n - 1)], -1), self.most)
 
     def long_matches(self) -> np.ndarray:
         """Places of the joined text where a match of ``most`` or more with another place starts.

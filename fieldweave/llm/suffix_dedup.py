@@ -3,17 +3,20 @@
 A byte goes if a string of ``WIDTH`` bytes that covers it starts at two places or more
 of the corpus, overlaps and the same document included.
 
-1. Every window of ``WIDTH`` bytes is named by the smallest hash of its ``GRAM``-byte
+1. Every window of ``WIDTH`` bytes is named by the smallest hash of its ``GRAMS[0]``-byte
    grams; equal windows have equal names.  Consecutive windows of one name make a
    fragment, so each window lies in exactly one fragment.
-2. Fragments with equal bytes (128 bits of hash) repeat as a whole.  One of each stays
-   for step 3, and only where its name has other fragments or its own windows can be equal.
-3. Fragments are dealt by name into blocks of about ``BLOCK_BYTES``.  A run-length index
-   of each block (see ``run_index``) is streamed for matching statistics, and windows
-   with a match of ``WIDTH`` or more are marked.
-   A name with over ``HOT`` different fragments would not fit a block: its windows are
-   counted one by one by a shuffled hash aggregation instead, which marks the same ones.
-4. The marked windows' bytes are cut from the documents.
+2. Fragments with equal bytes (a 64-bit identity under a 64-bit name) are one, with a count.
+   One of each goes on, where it occurs again, its name has other fragments or its own
+   windows can be equal.
+3. Fragments are dealt by name into blocks of about ``BLOCK_BYTES``, those that occur again
+   with a twin.  A run-length index of each block (see ``run_index``) is streamed for
+   matching statistics, and windows with a match of ``WIDTH`` or more are marked; marks
+   are joined back to all places of a fragment.  Every mark comes from an index.
+4. The fragments of a name with over ``HOT`` of them, too many for a block, are named and
+   cut anew by their longer grams (``GRAMS[1]``, at last ``WIDTH`` itself, when equal names
+   are equal windows) and go through the same steps.
+5. The marked windows' bytes are cut from the documents.
 
 Defined results: null and empty texts, and texts under ``WIDTH`` bytes, lose nothing;
 documents are told apart by key and text, so equal rows are repeats of each other; a
@@ -32,15 +35,16 @@ from pyspark.sql.window import Window
 
 from . import columnar as C
 from .run_index import RunIndex
-from .storage import written
+from .storage import prepared, schema_with, written
 
 WIDTH = 200
-GRAM = 48
+#: Bytes of the grams that name a window, and of those that name it anew where a name is too frequent.
+GRAMS = (48, 128)
 #: Windows of a fragment at most.
 LONGEST = 512
 BLOCK_BYTES = 1 << 20
+#: Different fragments of a name in one block at most.
 HOT = 4096
-_NULL = -(2**63)
 
 
 def sliding_minimum(x: np.ndarray, width: int) -> np.ndarray:
@@ -95,62 +99,60 @@ def fragments(data: np.ndarray, offsets: np.ndarray, width: int, gram: int) -> t
     return row[at], name[at], identity, inside[at], count, inner
 
 
-def _keyed(docs: DataFrame, key: str, text: str, k: str = "k", c: str = "c") -> DataFrame:
-    """docs with what tells documents apart."""
-    return docs.withColumn(k, F.coalesce(F.col(key).cast("long"), F.lit(_NULL))).withColumn(c, F.crc32(F.coalesce(F.col(text).cast("binary"), F.lit(b""))))
+def _keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """docs with k and c, which tell documents apart: 64 bits of the text beside the key, or 128 where there is none."""
+    raw = F.coalesce(F.col(text).cast("binary"), F.lit(b""))
+    return docs.withColumn("k", F.coalesce(F.col(key).cast("long"), F.xxhash64(F.lit(1), raw))).withColumn("c", F.xxhash64(raw))
 
 
-def _repeats(rows: DataFrame, text: str, width: int, gram: int) -> DataFrame:
-    """Fragments whose windows may repeat: k, c, lo, n, h, whole (its bytes repeat), indexed (one of each bytes, where windows may repeat), kinds (different fragments of the name)."""
+def _repeats(rows: DataFrame, width: int, gram: int) -> DataFrame:
+    """Fragments of rows (k, c, text, times) whose windows may repeat: k, c, lo, n, h (name), f (identity), twice (occurs again), indexed (one of each), kinds (different fragments of the name)."""
 
     def run(batches):
-        for batch in C.slices(batches, text):
-            data, offsets = C.text_buffer(batch.column(batch.schema.get_field_index(text)))
+        for batch in C.slices(batches, "text"):
+            data, offsets = C.text_buffer(batch.column(2))
             row, name, identity, lo, n, inner = fragments(data, offsets, width, gram)
             row = pa.array(row)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(batch.schema.get_field_index("k")).take(row), batch.column(batch.schema.get_field_index("c")).take(row), pa.array(lo.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(name.view(np.int64)), pa.array(identity.view(np.int64)), pa.array(inner)],
-                names=["k", "c", "lo", "n", "h", "f", "inner"],
+                [batch.column(0).take(row), batch.column(1).take(row), batch.column(3).take(row), pa.array(lo.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(name.view(np.int64)), pa.array(identity.view(np.int64)), pa.array(inner)],
+                names=["k", "c", "times", "lo", "n", "h", "f", "inner"],
             )
 
-    found = rows.select("k", "c", text).mapInArrow(run, "k long, c long, lo int, n int, h long, f long, inner boolean").repartition("h")
+    found = rows.select("k", "c", "text", "times").mapInArrow(run, "k long, c long, times int, lo int, n int, h long, f long, inner boolean").repartition("h")
     same = Window.partitionBy("h", "f")
-    found = found.withColumn("rn", F.row_number().over(same.orderBy("k", "c", "lo"))).withColumn("copies", F.count("*").over(same))
+    found = found.withColumn("rn", F.row_number().over(same.orderBy("k", "c", "lo"))).withColumn("copies", F.sum("times").over(same))
     named = Window.partitionBy("h")
     found = found.withColumn("kinds", F.sum((F.col("rn") == 1).cast("int")).over(named))
-    indexed = (F.col("rn") == 1) & ((F.col("kinds") > 1) | F.col("inner"))
-    return found.where("copies > 1 or kinds > 1 or inner").select("k", "c", "lo", "n", "h", (F.col("copies") > 1).alias("whole"), indexed.alias("indexed"), "kinds")
+    return found.where("copies > 1 or kinds > 1 or inner").select("k", "c", "lo", "n", "h", "f", (F.col("copies") > 1).alias("twice"), (F.col("rn") == 1).alias("indexed"), "kinds")
 
 
-_CUT = "k long, c long, lo int, mark boolean, h long, shard long, fragment binary"
-
-
-def _cut_out(rows: DataFrame, repeats: DataFrame, text: str, width: int, shards: int) -> DataFrame:
-    """The bytes of the fragments that need an index."""
-    wanted = repeats.groupBy("k", "c").agg(F.collect_set(F.struct("lo", "n", "h", "whole")).alias("parts"))
-    joined = rows.select("k", "c", text).join(wanted.hint("shuffle_hash"), ["k", "c"])
+def _cut_out(rows: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """h, f, twice and the bytes of the wanted fragments (one of each)."""
+    parts = wanted.groupBy("k", "c").agg(F.collect_list(F.struct("lo", "n", "h", "f", "twice")).alias("parts"))
+    joined = rows.select("k", "c", "text").join(parts.hint("shuffle_hash"), ["k", "c"]).select("k", "c", "text", "parts")
 
     def run(batches):
-        for batch in C.slices(batches, text):
-            parts = batch.column(batch.schema.get_field_index("parts"))
-            data, offsets = C.text_buffer(batch.column(batch.schema.get_field_index(text)))
+        seen: set[tuple[int, int]] = set()
+        for batch in C.slices(batches, "text"):
+            fresh = []
+            for i, name in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                if name not in seen:
+                    seen.add(name)
+                    fresh.append(i)
+            batch = batch.take(pa.array(fresh, pa.int64()))  # equal rows are one here
+            data, offsets = C.text_buffer(batch.column(2))
+            parts = batch.column(3)
             flat, counts = parts.flatten(), np.diff(parts.offsets.to_numpy())
             row = np.repeat(np.arange(batch.num_rows), counts)
-            lo, n = (flat.field(i).to_numpy() for i in (0, 1))
-            start = offsets[row] + lo
-            end = start + n + width - 1
+            start = offsets[row] + flat.field(0).to_numpy()
+            size = flat.field(1).to_numpy() + (width - 1)
             at = np.zeros(len(row) + 1, dtype=np.int64)
-            np.cumsum(end - start, out=at[1:])
-            raw = data[np.arange(at[-1]) + np.repeat(start - at[:-1], end - start)] if len(row) else data[:0]
+            np.cumsum(size, out=at[1:])
+            raw = data[np.arange(at[-1]) + np.repeat(start - at[:-1], size)] if len(row) else data[:0]
             values = pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(at.astype(np.int32).tobytes()), pa.py_buffer(raw.tobytes())])
-            take = pa.array(row)
-            h = flat.field(2)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(batch.schema.get_field_index("k")).take(take), batch.column(batch.schema.get_field_index("c")).take(take), flat.field(0), pa.array(~np.asarray(flat.field(3).to_numpy(zero_copy_only=False), dtype=bool)), h, pa.array(np.mod(h.to_numpy(), shards)), values],
-                names=["k", "c", "lo", "mark", "h", "shard", "fragment"],
-            )
+            yield pa.RecordBatch.from_arrays([flat.field(2), flat.field(3), flat.field(4), values], names=["h", "f", "twice", "fragment"])
 
-    return joined.mapInArrow(run, _CUT)
+    return joined.mapInArrow(run, "h long, f long, twice boolean, fragment binary")
 
 
 def _runs(long: np.ndarray, begin: int, windows: int) -> tuple[np.ndarray, np.ndarray]:
@@ -159,72 +161,62 @@ def _runs(long: np.ndarray, begin: int, windows: int) -> tuple[np.ndarray, np.nd
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
-def _indexed(cut: DataFrame, width: int) -> DataFrame:
-    """k, c, start, end of the marked spans, by a run-length index of each block."""
+def _indexed(cut: DataFrame, width: int, shards: int) -> DataFrame:
+    """h, f, start, end of the marked spans of each fragment, by a run-length index of each block."""
 
     def run(table: pa.Table) -> pa.Table:
         pieces = table.column("fragment").to_pylist()
-        index = RunIndex(pieces, width)
+        index = RunIndex(pieces, width, np.asarray(table.column("twice").to_numpy(zero_copy_only=False), dtype=bool))
         long = index.long_matches()
-        lo, mark = table.column("lo").to_numpy(), table.column("mark").to_numpy()
         rows, starts, ends = [], [], []
-        for i in np.flatnonzero(mark).tolist():
+        for i in range(len(pieces)):
             a, b = _runs(long, int(index.begin[i]), len(pieces[i]) - width + 1)
             rows.append(np.full(len(a), i))
-            starts.append(lo[i] + a)
-            ends.append(lo[i] + b + width - 1)
+            starts.append(a)
+            ends.append(b + width - 1)
         take = pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int64))
         both = [pa.array((np.concatenate(x) if x else np.zeros(0)).astype(np.int32)) for x in (starts, ends)]
-        return pa.table({"k": table.column("k").take(take), "c": table.column("c").take(take), "start": both[0], "end": both[1]})
+        return pa.table({"h": table.column("h").take(take), "f": table.column("f").take(take), "start": both[0], "end": both[1]})
 
-    return cut.select("shard", "k", "c", "lo", "mark", "fragment").groupBy("shard").applyInArrow(run, "k long, c long, start int, end int")
+    dealt = cut.withColumn("shard", F.pmod("h", F.lit(shards)))
+    return dealt.select("shard", "h", "f", "twice", "fragment").groupBy("shard").applyInArrow(run, "h long, f long, start int, end int")
 
 
-def _counted(cut: DataFrame, width: int) -> DataFrame:
-    """The same for names with too many fragments for a block: windows counted by hash."""
+def _spans(rows: DataFrame, width: int, grams: tuple[int, ...], hot: int, block_bytes: int) -> DataFrame:
+    """k, c, start, end (any order, overlapping) of the repeated bytes of rows (k, c, text, times)."""
+    repeats = written(_repeats(rows, width, grams[0]), "repeats")
+    wanted = repeats.where("indexed")
+    fits = F.col("kinds") <= hot if len(grams) > 1 else F.lit(True)
+    size = wanted.agg(F.sum(F.when(fits, F.col("n") + (width - 1))).alias("bytes"), F.count(F.when(~fits, 1)).alias("hot")).first()
+    marked = _indexed(_cut_out(rows, wanted.where(fits), width), width, max(1, -(-int(size["bytes"] or 0) // block_bytes)))
+    if size["hot"]:
+        pieces = _cut_out(rows, wanted.where(~fits), width)
+        pieces = written(pieces.select(F.col("h").alias("k"), F.col("f").alias("c"), F.col("fragment").alias("text"), F.when(F.col("twice"), 2).otherwise(1).alias("times")), "hot-fragments")
+        finer = _spans(pieces, width, grams[1:], hot, block_bytes)
+        marked = marked.unionByName(finer.withColumnsRenamed({"k": "h", "c": "f"}))
+    places = repeats.select("k", "c", "lo", "h", "f").join(marked, ["h", "f"])
+    return places.select("k", "c", (F.col("lo") + F.col("start")).alias("start"), (F.col("lo") + F.col("end")).alias("end"))
 
-    def run(batches):
-        for batch in C.slices(batches, "fragment"):
-            data, offsets = C.text_buffer(batch.column(batch.schema.get_field_index("fragment")))
-            n = np.diff(offsets) - width + 1
-            row = np.repeat(np.arange(batch.num_rows), n)
-            inside = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-            start = offsets[row] + inside
-            hashes = [C.RollingHash.of_bytes(data, w).spans(start, start + width).view(np.int64) for w in (0, 1)]
-            take = pa.array(row)
-            get = lambda c: batch.column(batch.schema.get_field_index(c))
-            yield pa.RecordBatch.from_arrays([get("k").take(take), get("c").take(take), pa.array((get("lo").to_numpy()[row] + inside).astype(np.int32)), get("mark").take(take), pa.array(hashes[0]), pa.array(hashes[1])], names=["k", "c", "start", "mark", "w1", "w2"])
-
-    windows = cut.mapInArrow(run, "k long, c long, start int, mark boolean, w1 long, w2 long")
-    often = windows.groupBy("w1", "w2").count().where("count > 1").select("w1", "w2")
-    return windows.where("mark").join(often, ["w1", "w2"]).select("k", "c", "start", (F.col("start") + width).alias("end"))
-
-
-def repeated_spans(docs: DataFrame, *, key: str = "doc_id", text: str = "text", width: int = WIDTH, gram: int = GRAM, hot: int = HOT, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+
+def repeated_spans(docs: DataFrame, *, key: str = "doc_id", text: str = "text", width: int = WIDTH, grams: tuple[int, ...] = GRAMS, hot: int = HOT, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """k, c and the marked spans (start, end; any order, overlapping) of each document that has some."""
-    rows = _keyed(docs.select(F.col(key).alias("__id"), F.col(text).alias("__text")), "__id", "__text")
-    text = "__text"
-    repeats = written(_repeats(rows, text, width, gram), "repeats")
-    indexed = repeats.where("indexed")
-    size = indexed.agg(F.sum(F.when(F.col("kinds") <= hot, F.col("n") + (width - 1))).alias("bytes"), F.count(F.when(F.col("kinds") > hot, 1)).alias("hot")).first()
-    spans = repeats.where("whole").select("k", "c", F.col("lo").alias("start"), (F.col("lo") + F.col("n") + (width - 1)).alias("end"))
-    if size["bytes"]:
-        shards = -(-int(size["bytes"]) // block_bytes)
-        spans = spans.unionByName(_indexed(_cut_out(rows, indexed.where(F.col("kinds") <= hot), text, width, shards), width))
-    if size["hot"]:
-        spans = spans.unionByName(_counted(_cut_out(rows, indexed.where(F.col("kinds") > hot), text, width, 1), width))
-    return spans.groupBy("k", "c").agg(F.collect_set(F.struct("start", "end")).alias("marked"))
+    prepared(docs.sparkSession)
+    rows = _keyed(docs.select(F.col(key).alias("id"), F.col(text).alias("text")), "id", "text").withColumn("times", F.lit(1))
+    return _spans(rows, width, (*grams, width), hot, block_bytes).groupBy("k", "c").agg(F.collect_set(F.struct("start", "end")).alias("marked"))
 
 
 def _with_spans(docs: DataFrame, key: str, text: str, options: dict) -> DataFrame:
+    """The columns of docs as c0, c1, ..., whatever they are called, and marked."""
     spans = repeated_spans(docs, key=key, text=text, **options)
-    return _keyed(docs, key, text, "__k", "__c").join(spans.withColumnsRenamed({"k": "__k", "c": "__c", "marked": "__marked"}).hint("shuffle_hash"), ["__k", "__c"], "left")
+    rows = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    at = {n: f"c{i}" for i, n in enumerate(docs.columns)}
+    return _keyed(rows, at[key], at[text]).join(spans.hint("shuffle_hash"), ["k", "c"], "left").select(*rows.columns, "marked")
 
 
 def _merged(batch: pa.RecordBatch, text: str):
     """Yield (row, text bytes, merged spans) for each row of a batch."""
     data, offsets = C.text_buffer(batch.column(batch.schema.get_field_index(text)))
-    marked = batch.column(batch.schema.get_field_index("__marked"))
+    marked = batch.column(batch.num_columns - 1)
     at, flat = marked.offsets.to_numpy(), marked.values
     starts, ends = (flat.field(i).to_numpy() for i in (0, 1))
     has = marked.is_valid().to_numpy(zero_copy_only=False)
@@ -255,16 +247,16 @@ def digests(docs: DataFrame, *, key: str = "doc_id", text: str = "text", **optio
     kind = dict(docs.dtypes)[key]
 
     def run(batches):
-        for batch in C.slices(batches, text):
+        for batch in C.slices(batches, "c1"):
             size, gone, number, sha = [], [], [], []
-            for _, raw, spans in _merged(batch, text):
+            for _, raw, spans in _merged(batch, "c1"):
                 size.append(len(raw))
                 gone.append(sum(b - a for a, b in spans))
                 number.append(len(spans))
                 sha.append(hashlib.sha256(_kept(raw, spans)).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(key)), pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array(number, pa.int64()), pa.array(sha, pa.string())], names=[key, "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array(number, pa.int64()), pa.array(sha, pa.string())], names=[key, "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return joined.select(key, text, "__marked").mapInArrow(run, f"`{key}` {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return joined.mapInArrow(run, f"`{key}` {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
@@ -273,18 +265,25 @@ def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     Where a cut splits a character its rest goes too, so texts stay valid.  ``n_chars``,
     where present, is set anew for cut texts.
     """
-    names = docs.columns
+    names, types = docs.columns, [f.dataType for f in docs.schema.fields]
+    at, body = names.index(text), f"c{names.index(text)}"
     joined = _with_spans(docs, key, text, options)
+
     def run(batches):
-        for batch in C.slices(batches, text):
-            column = batch.schema.get_field_index(text)
-            null = batch.column(column).is_null().to_pylist()
-            texts = [None if null[i] else _kept(raw, spans).decode("utf-8", "ignore") for i, raw, spans in _merged(batch, text)]
-            columns = {n: batch.column(batch.schema.get_field_index(n)) for n in names}
-            columns[text] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays([columns[n] for n in names], names=names)
-
-    cut = joined.select(*names, "__marked").mapInArrow(run, docs.schema)
-    if "n_chars" in names:
-        cut = cut.withColumn("n_chars", F.coalesce(F.length(text).cast(dict(docs.dtypes)["n_chars"]), F.col("n_chars")))
-    return cut
+        for batch in C.slices(batches, body):
+            out = batch.column(at)
+            changed = {i: _kept(raw, spans).decode("utf-8", "ignore") for i, raw, spans in _merged(batch, body) if spans}
+            if changed:
+                out = pa.array([changed.get(i, t) for i, t in enumerate(out.to_pylist())], pa.string())
+            flags = np.zeros(batch.num_rows, dtype=bool)
+            flags[list(changed)] = True
+            yield pa.RecordBatch.from_arrays([*[out if i == at else batch.column(i) for i in range(len(names))], pa.array(flags)], names=[*batch.schema.names[:-1], "cut"])
+
+    cut = joined.mapInArrow(run, schema_with(list(joined.drop("marked").schema.fields), "cut boolean"))
+    columns = []
+    for i, n in enumerate(names):
+        value = F.col(f"c{i}")
+        if n == "n_chars":
+            value = F.when(F.col("cut"), F.length(body).cast(types[i])).otherwise(value)
+        columns.append(value.alias(n))
+    return cut.select(*columns)
