@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import columnar as C
-from .storage import schema_with, spare, written
+from .storage import discard, schema_with, spare, written
 
 #: Words of a window.
 WINDOW = 13
@@ -122,29 +122,35 @@ _SCAN_SCHEMA = "n_words long, hits array<struct<first:int,last:int,start:int,end
 _HITS = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]))
 
 
+def _found(data: np.ndarray, offsets: np.ndarray, windows) -> tuple[C.Words, list[list[dict]], list[list[str]]]:
+    """(words, hits, items) of the texts in a buffer; hits are merged runs of hit words: first and last word, byte span."""
+    words = C.Words(data, offsets, C.ALNUM)
+    rows = len(offsets) - 1
+    places, lengths, items = windows.value.hits(words) if windows else ([], [], {})
+    hits: list[list[dict]] = [[] for _ in range(rows)]
+    if len(places):
+        hit = C.covered(places, lengths, len(words))
+        begins = hit.copy()
+        begins[1:] &= ~hit[:-1] | (words.row[1:] != words.row[:-1])
+        stops = hit.copy()
+        stops[:-1] &= ~hit[1:] | (words.row[1:] != words.row[:-1])
+        for a, b in zip(np.flatnonzero(begins).tolist(), np.flatnonzero(stops).tolist(), strict=True):
+            row = int(words.row[a])
+            base, low = int(words.first[row]), int(offsets[row])
+            hits[row].append({"first": a - base, "last": b - base, "start": int(words.starts[a]) - low, "end": int(words.ends[b]) - low})
+    return words, hits, [sorted(items.get(i, ())) for i in range(rows)]
+
+
 def _scan(docs: DataFrame, text: str, windows, keep: list[str]) -> DataFrame:
-    """The kept columns with n_words, hits (merged runs of hit words: first and last word, byte span) and items; windows: a broadcast WindowSet or None."""
+    """The kept columns with n_words, hits and items; windows: a broadcast WindowSet or None."""
     kept = [f for f in docs.schema.fields if f.name in keep]
     names = [f.name for f in kept]
 
     def run(batches):
         for batch in C.slices(batches, text):
-            data, offsets = C.text_buffer(batch.column(batch.schema.get_field_index(text)))
-            words = C.Words(data, offsets, C.ALNUM)
-            places, lengths, items = windows.value.hits(words) if windows else ([], [], {})
-            hits: list[list[dict]] = [[] for _ in range(batch.num_rows)]
-            if len(places):
-                hit = C.covered(places, lengths, len(words))
-                begins = hit.copy()
-                begins[1:] &= ~hit[:-1] | (words.row[1:] != words.row[:-1])
-                stops = hit.copy()
-                stops[:-1] &= ~hit[1:] | (words.row[1:] != words.row[:-1])
-                for a, b in zip(np.flatnonzero(begins).tolist(), np.flatnonzero(stops).tolist(), strict=True):
-                    row = int(words.row[a])
-                    base, low = int(words.first[row]), int(offsets[row])
-                    hits[row].append({"first": a - base, "last": b - base, "start": int(words.starts[a]) - low, "end": int(words.ends[b]) - low})
+            words, hits, items = _found(*C.text_buffer(batch.column(batch.schema.get_field_index(text))), windows)
             yield pa.RecordBatch.from_arrays(
-                [*[batch.column(batch.schema.get_field_index(n)) for n in names], pa.array(words.counts, pa.int64()), pa.array(hits, _HITS), pa.array([sorted(items.get(i, ())) for i in range(batch.num_rows)], pa.list_(pa.string()))],
+                [*[batch.column(batch.schema.get_field_index(n)) for n in names], pa.array(words.counts, pa.int64()), pa.array(hits, _HITS), pa.array(items, pa.list_(pa.string()))],
                 names=[*names, "n_words", "hits", "items"],
             )
 
@@ -152,12 +158,17 @@ def _scan(docs: DataFrame, text: str, windows, keep: list[str]) -> DataFrame:
     return rows.mapInArrow(run, schema_with(kept, _SCAN_SCHEMA))
 
 
+def _blocks(benchmark: DataFrame, item_id: str, text: str, window: int, block_windows: int, block_bytes: int) -> tuple[DataFrame, int]:
+    """(the benchmark's windows, number of blocks)."""
+    windows = written(_windows(benchmark, item_id, text, window), "benchmark-windows")
+    size = windows.agg(F.count("*").alias("n"), F.sum(F.octet_length("w")).alias("b")).first()
+    return windows, max(1, math.ceil(size["n"] / block_windows), math.ceil((size["b"] or 0) / block_bytes))
+
+
 def find_hits(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", keep: list[str], item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_windows: int = BLOCK_WINDOWS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The kept columns (none of them n_words, hits or items) of every document with n_words, hits and items."""
     spark = docs.sparkSession
-    windows = written(_windows(benchmark, item_id, item_text, window), "benchmark-windows")
-    size = windows.agg(F.count("*").alias("n"), F.sum(F.octet_length("w")).alias("b")).first()
-    n = max(1, math.ceil(size["n"] / block_windows), math.ceil((size["b"] or 0) / block_bytes))
+    windows, n = _blocks(benchmark, item_id, item_text, window, block_windows, block_bytes)
     if n == 1:
         return _scan(docs, text, spark.sparkContext.broadcast(WindowSet(windows.toArrow())), keep)
     digest, same = spare([*docs.columns, "n_words", "hits", "items"], "digest", "same")
@@ -167,6 +178,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", keep
         block = spark.sparkContext.broadcast(WindowSet(windows.where(F.pmod(F.xxhash64("h", "n"), F.lit(n)) == b).toArrow()))
         parts.append(written(_scan(named, text, block, [digest]).where(F.size("items") > 0).dropDuplicates([digest]), "benchmark-hits"))
         block.destroy()
+    discard(windows)
     found = parts[0]
     for more in parts[1:]:
         found = found.unionByName(more)
@@ -198,41 +210,50 @@ def judged(found: DataFrame) -> DataFrame:
     )
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", **options) -> DataFrame:
+def _without(text: str, hits: list[dict]) -> str:
+    raw, at, parts = text.encode(), 0, []
+    for h in sorted(hits, key=lambda h: h["start"]):
+        if h["start"] > at:
+            parts.append(raw[at : h["start"]])
+        at = max(at, h["end"])
+    return (b"".join(parts) + raw[at:]).decode()
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_windows: int = BLOCK_WINDOWS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Drop contaminated documents and cut the hit spans from the others; all columns stay.
 
     A null text stays null.  ``n_chars``, where present, is set anew for cut texts.
     """
     names, types = docs.columns, [f.dataType for f in docs.schema.fields]
     rows = docs.toDF(*[f"c{i}" for i in range(len(names))])
-    body = f"c{names.index(text)}"
-    found = judged(find_hits(rows, benchmark, text=body, keep=rows.columns, **options)).where(~F.col("contaminated")).select(*rows.columns, "hits")
-    at, last = names.index(text), len(names)
+    at, last, numbered = names.index(text), len(names), rows.columns
+    windows, n = _blocks(benchmark, item_id, item_text, window, block_windows, block_bytes)
+    if n == 1:
+        shared, found = docs.sparkSession.sparkContext.broadcast(WindowSet(windows.toArrow())), rows
+    else:
+        shared = None
+        hits = find_hits(rows, benchmark, text=f"c{at}", keep=rows.columns, item_id=item_id, item_text=item_text, window=window, block_windows=block_windows, block_bytes=block_bytes)
+        found = judged(hits).where(~F.col("contaminated")).select(*rows.columns, "hits")
 
     def run(batches):
-        for batch in C.slices(batches, body):
-            spans = batch.column(last)
-            out = batch.column(at)
-            hit = [i for i, n in enumerate(pa.compute.list_value_length(spans).to_pylist()) if n]
-            if hit:
-                texts = out.to_pylist()
-                for i in hit:
-                    raw, reach, parts = texts[i].encode(), 0, []
-                    for h in sorted(spans[i].as_py(), key=lambda h: h["start"]):
-                        if h["start"] > reach:
-                            parts.append(raw[reach : h["start"]])
-                        reach = max(reach, h["end"])
-                    texts[i] = (b"".join(parts) + raw[reach:]).decode()
-                out = pa.array(texts, pa.string())
-            flags = np.zeros(batch.num_rows, dtype=bool)
-            flags[hit] = True
-            yield pa.RecordBatch.from_arrays([*[out if i == at else batch.column(i) for i in range(last)], pa.array(flags)], names=[*batch.schema.names[:last], "cut"])
+        for batch in C.slices(batches, f"c{at}"):
+            if shared is None:
+                hits = batch.column(last).to_pylist()
+            else:
+                words, hits, _ = _found(*C.text_buffer(batch.column(at)), shared)
+                n_hit = [sum(h["last"] - h["first"] + 1 for h in hs) for hs in hits]
+                clean = [not n or 20 * n < total for n, total in zip(n_hit, words.counts.tolist(), strict=True)]
+                batch, hits = batch.filter(pa.array(clean, pa.bool_())), [hs for hs, ok in zip(hits, clean, strict=True) if ok]
+            out, cut = batch.column(at), [bool(hs) for hs in hits]
+            if any(cut):
+                out = pa.array([_without(t, hs) if hs else t for t, hs in zip(out.to_pylist(), hits, strict=True)], pa.string())
+            yield pa.RecordBatch.from_arrays([*[out if i == at else batch.column(i) for i in range(last)], pa.array(cut, pa.bool_())], names=[*numbered, "cut"])
 
     cut = found.mapInArrow(run, schema_with(list(rows.schema.fields), "cut boolean"))
     columns = []
-    for i, n in enumerate(names):
+    for i, name in enumerate(names):
         value = F.col(f"c{i}")
-        if n == "n_chars":
-            value = F.when(F.col("cut"), F.length(body).cast(types[i])).otherwise(value)
-        columns.append(value.alias(n))
+        if name == "n_chars":
+            value = F.when(F.col("cut"), F.length(f"c{at}").cast(types[i])).otherwise(value)
+        columns.append(value.alias(name))
     return cut.select(*columns)

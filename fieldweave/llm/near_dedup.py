@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import columnar as C
-from .storage import spare, written
+from .storage import discard, spare, written
 
 #: Words of a shingle unless given.
 SHINGLE = 5
@@ -290,15 +290,18 @@ def components(links: DataFrame, *, name: str = "components") -> DataFrame:
         step = written(least.select("node", F.least("m", order("node"))["to"].alias("to")), name)
         move = written(step.join(step.select(F.col("node").alias("to"), F.col("to").alias("further")), "to").select("node", F.col("further").alias("to")), name)
         moves.append(move)
+        shown = links
         for end in ("a", "b"):
-            links = links.join(move.withColumnsRenamed({"node": end, "to": f"to_{end}"}), end)
-        links = written(links.select(F.col("to_a").alias("a"), F.col("to_b").alias("b")).where("a <> b").select(*ends).distinct(), name)
+            shown = shown.join(move.withColumnsRenamed({"node": end, "to": f"to_{end}"}), end)
+        before, links = links, written(shown.select(F.col("to_a").alias("a"), F.col("to_b").alias("b")).where("a <> b").select(*ends).distinct(), name)
+        discard(before, step)
     if not moves:
         return links.select(F.col("a").alias("node"), F.col("b").alias("component"))
     place = moves[-1]
     for move in moves[-2::-1]:
         place = move.join(place.select(F.col("node").alias("to"), F.col("to").alias("end")), "to", "left").select("node", F.coalesce("end", "to").alias("to"))
     place = written(place, name)
+    discard(links, *moves)
     return place.join(place.groupBy("to").agg(F.min("node").alias("component")), "to").select("node", "component")
 
 
@@ -397,6 +400,7 @@ def _grouped(docs: DataFrame, key: str, text: str, members: int, shingle: int) -
     clusters = written(components(links, name="clusters").join(classes.select("node", "k", "c"), "node"), "cluster-members")
     single = _once(rows, "k", "c") if again else rows
     groups = components(_verified(clusters, single, needed, members, shingle), name="groups")
+    discard(stars, like, clusters)
     # A class without links is a group of its own.
     named = classes.select("node", "digest", "k", "c").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
     return signed.select("k", "c", "n", "digest"), named, again

@@ -14,10 +14,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructField, StructType
 
 
+#: Bytes of rows sent to a Python worker at once, where the session doesn't say otherwise.
+BATCH_BYTES = "2m"
+_BATCHES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def prepared(spark: SparkSession) -> SparkSession:
+    """The session, with small batches for Python workers unless it sets their size itself: memory outside the heap follows them."""
+    if _BATCHES not in spark.conf.getAll and not spark.sparkContext.getConf().contains(_BATCHES):
+        spark.conf.set(_BATCHES, BATCH_BYTES)
+    return spark
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The shared folder; sets a local one only where the session names none (tests, one machine)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    """The shared folder; sets a local one where the session names none and runs on one machine (tests), else raises."""
+    folder = prepared(spark).conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="fieldweave-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -44,7 +59,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(*tables: DataFrame | str) -> None:
+    """Delete the files of ``written`` tables, or of paths, that nothing reads any more."""
+    for t in tables:
+        path = t if isinstance(t, str) else getattr(t, "written_to", None)
+        spark = SparkSession.getActiveSession()
+        if path and spark:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
 def write_blobs(df: DataFrame, column: str, path: str, end: str = "\n", **options: str) -> None:

@@ -19,7 +19,6 @@ ordered by their ids' checksum.
 from __future__ import annotations
 
 import struct
-import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +27,7 @@ from pyspark.sql import functions as F
 
 from . import columnar as C
 from . import tokens as T
-from .storage import fresh_path, read_files, schema_with, write_blobs, written
+from .storage import discard, fresh_path, read_files, schema_with, write_blobs, written
 
 MAGIC = b"FWT1"
 END_ID = 2
@@ -169,6 +168,7 @@ def write_token_files(docs: DataFrame, out: str, *, key: str = "doc_id", text: s
     tag = F.crc32("ids")
     ordered = tokens.select(key, "ids").repartitionByRange(n, F.col(key).asc_nulls_first(), tag).sortWithinPartitions(F.col(key).asc_nulls_first(), tag)
     write_blobs(ordered.mapInArrow(run, "blob binary"), "blob", f"{out}/data")
+    discard(tokens)
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
@@ -206,8 +206,5 @@ def digests(docs: DataFrame, *, key: str = "doc_id", text: str = "text", tokeniz
     out = fresh_path(spark, "token-files")
     write_token_files(docs, out, key=key, text=text, tokenizer=tokenizer)
     light = written(read_token_files(spark, out).select("file", "at", "key", "n_tokens", F.crc32("ids").alias("ids_crc32")), "token-digests")
+    discard(out)
     return with_starts(light).select(F.col("key").alias(key), "start", "n_tokens", "ids_crc32")
-
-
-def checksum(ids: np.ndarray) -> int:
-    return zlib.crc32(np.ascontiguousarray(ids, dtype="<u4").tobytes())

@@ -17,7 +17,7 @@ import importlib
 import os
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 
 from . import columnar as C
 
@@ -203,7 +203,8 @@ class Encoder:
             np.cumsum(size, out=at[1:])
             own = data[np.arange(at[-1]) + np.repeat(starts[cased] - at[:-1], size)]
             first[cased] = C.mixed(first[cased] + C.mixed(C.RollingHash.of_bytes(own, 0).spans(at[:-1], at[1:])) * np.uint64(3))
-        back, distinct = pd.factorize(first)
+        coded = pa.array(first).dictionary_encode()
+        back, distinct = coded.indices.to_numpy(), coded.dictionary.to_numpy()
         at = np.empty(len(distinct), dtype=np.int64)
         at[back[::-1]] = np.arange(len(back) - 1, -1, -1)
         if (second[at][back] != second).any():

@@ -66,12 +66,17 @@ def test_words_match_patterns():
 
 
 @pytest.mark.parametrize("hot", [4096, 1])
-def test_suffix_dedup(docs, rows, none, hot):
+def test_suffix_dedup(spark, docs, rows, none, hot):
+    rng = random.Random(11)
+    common = "".join(rng.choice("abcdef ") for _ in range(58))
+    more = [(200 + i, "".join(rng.choice("xyz") for _ in range(rng.randrange(40))) + common + "".join(rng.choice("uv") for _ in range(rng.randrange(40))), "en", "a", 1, 7, "h", "n") for i in range(60)]
+    rows = [*rows, *more, rows[3], rows[3], (None, rows[3][1], "en", "a", 3, 7, "h", "n")]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
     width, seen = 60, collections.Counter()
     raws = [(r[1] or "").encode() for r in rows]
     for t in raws:
         seen.update(t[i : i + width] for i in range(len(t) - width + 1))
-    want = []
+    want, cuts = [], []
     for r, t in zip(rows, raws):
         m = bytearray(len(t))
         for i in range(len(t) - width + 1):
@@ -79,13 +84,39 @@ def test_suffix_dedup(docs, rows, none, hot):
                 m[i : i + width] = b"\1" * width
         kept = bytes(b for b, x in zip(t, m) if not x)
         want.append((str(r[0]), (hashlib.sha256(kept).hexdigest(), len(t), sum(m), len(re.findall(b"\1+", bytes(m))))))
-    got = suffix_dedup.digests(docs, width=width, gram=16, hot=hot, block_bytes=4096)
+        cuts.append(kept.decode("utf-8", "ignore") if any(m) else None)
+    got = suffix_dedup.digests(docs, width=width, grams=(16, 40), hot=hot, block_bytes=4096)
     assert as_bag(got) == sorted(want)
     assert suffix_dedup.digests(none).count() == 0
-    cut = suffix_dedup.remove_repeats(docs, width=width, gram=16)
+    cut = suffix_dedup.remove_repeats(docs.withColumnsRenamed({'k': '__k', 'hits': '__marked', 'lang': 'c'}), width=width, grams=(16, 40)).withColumnsRenamed({'__k': 'k', '__marked': 'hits', 'c': 'lang'})
     assert cut.columns == docs.columns and cut.count() == len(rows)
     sizes = {str(r["doc_id"]): r["text"] for r in cut.collect()}
     assert sizes["0"] is None and sizes["3"] == "" and sizes["9"] == "one two"
+    left = collections.Counter((str(r["doc_id"]), r["text"], r["n_chars"]) for r in cut.collect())
+    assert left == collections.Counter((str(r[0]), r[1] if kept is None else kept, r[4] if kept is None else len(kept)) for r, kept in zip(rows, cuts))
+
+
+def test_run_index_compresses_repeats():
+    from fieldweave.llm.run_index import RunIndex
+
+    rng = random.Random(1)
+    base = bytes(rng.randrange(97, 105) for _ in range(3000))
+    pieces = [base[i : i + 700] for i in range(0, 2400, 300)]
+    for i in range(40):
+        piece = bytearray(base[:700])
+        piece[rng.randrange(700)] = 33
+        pieces.append(bytes(piece))
+    twice = np.array([i % 3 == 0 for i in range(len(pieces))])
+    index = RunIndex(pieces, 200, twice)
+    assert index.rows == sum((len(p) + 1) * (1 + t) for p, t in zip(pieces, twice))
+    assert 4 * len(index.heads) < index.rows
+    seen = collections.Counter()
+    for p, t in zip(pieces, twice):
+        for i in range(len(p) - 199):
+            seen[p[i : i + 200]] += 1 + bool(t)
+    long = index.long_matches()
+    for b, p in zip(index.begin, pieces):
+        assert [bool(long[b + i]) for i in range(len(p) - 199)] == [seen[p[i : i + 200]] > 1 for i in range(len(p) - 199)]
 
 
 def test_quality_base(spark, docs, rows, none):
