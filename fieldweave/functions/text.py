@@ -10,9 +10,9 @@ IGNORED = ["n/a", "na", "none", "null"]
 YES = ["yes", "y", "true", "1"]
 NO = ["no", "n", "false", "0"]
 
-#: Python's notion of white space at the ends of a text.
-_SPACES = r"[\s\u0085   -     　\x1C-\x1F]+"
-_ENDS = rf"^{_SPACES}|{_SPACES}$"
+#: A class of all that Python takes as white space, no-break and other Unicode blanks included (Java's ``\\s`` lacks them).
+WHITE = r"[\t-\r\x1C-\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
+_ENDS = rf"^{WHITE}+|{WHITE}+$"
 
 
 def strip(c: Column) -> Column:
@@ -22,12 +22,12 @@ def strip(c: Column) -> Column:
 def norm_text(c: Column) -> Column:
     """Trim, lower, curly to straight quotes, white space collapsed; null becomes empty."""
     lowered = F.lower(strip(F.coalesce(c, F.lit(""))))
-    return F.regexp_replace(F.translate(lowered, "’“”", "'\"\""), r"\s+", " ")
+    return F.regexp_replace(F.translate(lowered, "’“”", "'\"\""), f"{WHITE}+", " ")
 
 
 def split_multivalue(c: Column, drop_ignored: bool = False) -> Column:
     """The distinct normalised parts of a cell between ``;`` and ``,`` in order; ``drop_ignored`` leaves out n/a, na, none, null."""
-    parts = F.transform(F.split(F.coalesce(c, F.lit("")), r"\s*[;,]\s*"), norm_text)
+    parts = F.transform(F.split(F.coalesce(c, F.lit("")), rf"{WHITE}*[;,]{WHITE}*"), norm_text)
     kept = F.filter(parts, lambda p: (p != "") & (~p.isin(IGNORED) if drop_ignored else F.lit(True)))
     return F.array_distinct(kept)
 
@@ -75,23 +75,24 @@ def greedy_pairs(pred: Column, gold: Column, threshold: float = 0.85) -> Column:
 
 def strip_fences(c: Column) -> Column:
     """Drop a leading code fence (bare, json or JSON) and a trailing one."""
-    return strip(F.regexp_replace(F.regexp_replace(strip(c), r"^```(?:json|JSON)?\s*", ""), r"\s*```$", ""))
+    return strip(F.regexp_replace(F.regexp_replace(strip(c), rf"^```(?:json|JSON)?{WHITE}*", ""), rf"{WHITE}*```$", ""))
 
 
 def lenient_json(c: Column) -> Column:
     """Text of lenient JSON made strict: fences, curly quotes, backticks and trailing commas."""
-    return F.regexp_replace(F.translate(strip_fences(c), "’“”`", "'\"\"'"), r",\s*([}\]])", "$1")
+    return F.regexp_replace(F.translate(strip_fences(c), "’“”`", "'\"\"'"), rf",{WHITE}*([}}\]])", "$1")
 
 
 def normalize_key(c: Column) -> Column:
     """Lower-case words joined by ``_``; a slash reads ``or``."""
     s = F.replace(F.lower(strip(c)), F.lit("/"), F.lit(" or "))
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(s, r"[^a-z0-9\s]+", " "), r"\s+", "_"), "^_+|_+$", "")
+    kept = F.regexp_replace(F.regexp_replace(s, f"{WHITE}+", " "), "[^a-z0-9 ]+", " ")
+    return F.regexp_replace(F.regexp_replace(kept, " +", "_"), "^_+|_+$", "")
 
 
 def normalize_key_hyphen(c: Column) -> Column:
     """The variant that keeps hyphens and drops other signs."""
-    s = F.translate(F.regexp_replace(strip(c), r"\s+", " "), "/\\–—", "  --")
+    s = F.translate(F.regexp_replace(strip(c), f"{WHITE}+", " "), "/\\–—", "  --")
     return F.replace(F.lower(strip(F.regexp_replace(s, r"[^0-9A-Za-z _\-]+", ""))), F.lit(" "), F.lit("_"))
 
 
@@ -99,7 +100,7 @@ def allowed_answers(c: Column, integers: bool = True) -> Column:
     """struct(type, enum) of an allowed-answers cell: ``integer``, or ``string`` with its distinct values, or nulls."""
     text = strip(F.coalesce(c, F.lit("")))
     cleaned = F.regexp_replace(F.translate(text, "’`", "''"), "^'+|'+$", "")
-    parts = F.transform(F.split(cleaned, r"\s*[;,]\s*"), lambda p: strip(F.regexp_replace(F.regexp_replace(strip(p), "^'+|'+$", ""), '^"+|"+$', "")))
+    parts = F.transform(F.split(cleaned, rf"{WHITE}*[;,]{WHITE}*"), lambda p: strip(F.regexp_replace(F.regexp_replace(strip(p), "^'+|'+$", ""), '^"+|"+$', "")))
     parts = F.filter(parts, lambda p: p != "")
     distinct = F.aggregate(parts, F.filter(parts, lambda p: F.lit(False)), lambda seen, p: F.when(F.exists(seen, lambda s: F.lower(s) == F.lower(p)), seen).otherwise(F.concat(seen, F.array(p))))
     is_integer = F.lower(text).isin("integer", "int") if integers else F.lit(False)
@@ -112,10 +113,10 @@ def allowed_answers(c: Column, integers: bool = True) -> Column:
 def title_abstract(c: Column) -> Column:
     """struct(title, abstract) of a merged text ``Title: ...`` / ``Abstract: ...``; without a marked title a first line of at most 200 characters is the title."""
     text = strip(F.coalesce(c, F.lit("")))
-    title = strip(F.regexp_extract(text, r"(?is)title:\s*(.+?)(?:\n+|\z)", 1))
+    title = strip(F.regexp_extract(text, rf"(?is)title:{WHITE}*(.+?)(?:\n+|\z)", 1))
     first = F.get(F.split(text, r"\r\n|[\n\r]"), F.lit(0))
-    short = F.when(F.length(first) <= 200, strip(F.regexp_replace(first, r"(?i)^title:\s*", ""))).otherwise("")
-    return F.struct(F.when(title != "", title).otherwise(short).alias("title"), strip(F.regexp_extract(text, r"(?is)abstract:\s*(.+)\z", 1)).alias("abstract"))
+    short = F.when(F.length(first) <= 200, strip(F.regexp_replace(first, rf"(?i)^title:{WHITE}*", ""))).otherwise("")
+    return F.struct(F.when(title != "", title).otherwise(short).alias("title"), strip(F.regexp_extract(text, rf"(?is)abstract:{WHITE}*(.+)\z", 1)).alias("abstract"))
 
 
 def iri_safe(c: Column) -> Column:
@@ -130,7 +131,7 @@ def iri_safe(c: Column) -> Column:
 
 def first_word(c: Column) -> Column:
     """First word of a model's answer without punctuation around it."""
-    return F.regexp_replace(F.get(F.split(strip(c), r"\s+"), 0), r"^[\p{Punct}]+|[\p{Punct}]+$", "")
+    return F.regexp_replace(F.get(F.split(strip(c), f"{WHITE}+"), 0), r"^[\p{Punct}]+|[\p{Punct}]+$", "")
 
 
 def word_list(c: Column) -> Column:

@@ -1,25 +1,38 @@
 """Scoring documents against anchors: ranks, adaptive cuts, acceptance, coverage and histograms.
 
-The anchor table is small by nature (concepts or goals).  Its size is checked before it
-is broadcast; a larger one is joined in blocks of anchors.
+The anchor table is small by nature (concepts or goals).  Its size is checked before it is
+broadcast; a larger one is taken in blocks of anchors.  The best anchors of a document are
+found where the document is (``best_anchors``), so no pair of both is ever shuffled; the
+table of all pairs (``score_pairs``) is for those who want all pairs.
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as ty
 
 from ..functions import vectors as V
 
 #: Anchors broadcast at once.
 ANCHORS_AT_ONCE = 4096
+#: Rows up to which a quantile is taken from all values at once; past it by zoomed histograms.
+EXACT_ROWS = 1_000_000
+#: Cells of a histogram.
+BINS = 4096
+
+
+def _indexed(anchors: DataFrame, anchor_id: str, anchor_vec: str) -> DataFrame:
+    """anchor_id, vec, idx: the place of the anchor in order of its id."""
+    rows = anchors.select(F.col(anchor_id).alias("anchor_id"), F.col(anchor_vec).alias("vec"))
+    return rows.withColumn("idx", F.row_number().over(Window.orderBy("anchor_id")) - 1)
 
 
 def score_pairs(docs: DataFrame, anchors: DataFrame, *, doc_id: str = "id", doc_vec: str = "embedding", anchor_id: str = "anchor_id", anchor_vec: str = "embedding") -> DataFrame:
     """id, anchor_id, idx (place of the anchor), score: cosine of every document with every anchor."""
     left = docs.select(F.col(doc_id).alias("id"), V.unit(F.col(doc_vec)).alias("_d"))
-    right = anchors.select(F.col(anchor_id).alias("anchor_id"), V.unit(F.col(anchor_vec)).alias("_a"))
-    right = right.withColumn("idx", F.row_number().over(Window.orderBy("anchor_id")) - 1)
+    right = _indexed(anchors, anchor_id, anchor_vec).select("anchor_id", "idx", V.unit(F.col("vec")).alias("_a"))
     n = anchors.count()
     blocks = [right] if n <= ANCHORS_AT_ONCE else [right.where((F.col("idx") / ANCHORS_AT_ONCE).cast("int") == b) for b in range(-(-n // ANCHORS_AT_ONCE))]
     out = None
@@ -29,6 +42,77 @@ def score_pairs(docs: DataFrame, anchors: DataFrame, *, doc_id: str = "id", doc_
     return out
 
 
+def _unit_rows(x: np.ndarray) -> np.ndarray:
+    return x / (np.sqrt((x * x).sum(axis=1, keepdims=True)) + V.EPSILON)
+
+
+def _best_of_block(docs: DataFrame, block: DataFrame, k: int, digits: int | None) -> DataFrame:
+    """id, best: the k best anchors of a block, as structs of neg (score, negative), idx, anchor_id, score."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    rows = block.orderBy("idx").collect()
+    places, names = [r["idx"] for r in rows], [r["anchor_id"] for r in rows]
+    size = len(rows[0]["vec"]) if rows else 0
+    matrix = _unit_rows(np.array([r["vec"] for r in rows], dtype=np.float64).reshape(len(rows), size))
+    name_type = block.schema["anchor_id"].dataType
+    item = ty.StructType([ty.StructField("neg", ty.DoubleType()), ty.StructField("idx", ty.IntegerType()), ty.StructField("anchor_id", name_type), ty.StructField("score", ty.DoubleType())])
+    schema = ty.StructType([docs.schema["id"], ty.StructField("best", ty.ArrayType(item))])
+    most = min(k, len(rows))
+
+    def run(batches):
+        from pyspark.sql.pandas.types import to_arrow_type
+
+        kind = to_arrow_type(name_type)
+        shown = pa.array(names, kind)
+        for batch in batches:
+            vec = batch.column(1)
+            fits = pc.equal(pc.list_value_length(vec), size).fill_null(False).to_numpy(zero_copy_only=False)
+            x = vec.filter(pa.array(fits)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(int(fits.sum()), size)
+            sound = ~np.isnan(x).any(axis=1)  # a null in a vector comes as NaN
+            fits[np.flatnonzero(fits)[~sound]] = False
+            got = np.zeros((batch.num_rows, most))
+            order = np.zeros((batch.num_rows, most), dtype=np.int64)
+            at = np.flatnonzero(fits)
+            if len(at) and most:
+                score = _unit_rows(x[sound]) @ matrix.T
+                if digits is not None:
+                    score = np.round(score, digits)
+                order[at] = np.argsort(-score, axis=1, kind="stable")[:, :most]  # ties to the lowest anchor
+                got[at] = np.take_along_axis(score, order[at], axis=1)
+            pick, score = order[at].ravel(), got[at].ravel()
+            items = pa.StructArray.from_arrays([pa.array(-score), pa.array(np.array(places, dtype=np.int32)[pick]), shown.take(pa.array(pick)), pa.array(score)], names=["neg", "idx", "anchor_id", "score"])
+            ends = np.concatenate([[0], np.cumsum(np.where(fits, most, 0))]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), items)], names=["id", "best"])
+
+    return docs.mapInArrow(run, schema)
+
+
+def best_anchors(docs: DataFrame, anchors: DataFrame, k: int, *, doc_id: str = "id", doc_vec: str = "embedding", anchor_id: str = "anchor_id", anchor_vec: str = "embedding", digits: int | None = None) -> DataFrame:
+    """``top_k`` of all scores without making the pairs: each batch of documents meets the broadcast anchors as a matrix.
+
+    A document without a vector of the anchors' length has no best anchor and null scores.
+    With more than ``ANCHORS_AT_ONCE`` anchors, k rows a document and block are merged.
+    """
+    rows = docs.select(F.col(doc_id).alias("id"), F.col(doc_vec).cast("array<double>").alias("vec"))
+    table = _indexed(anchors, anchor_id, anchor_vec).select("anchor_id", F.col("vec").cast("array<double>").alias("vec"), "idx")
+    n, k2 = anchors.count(), max(k, 2)
+    if n <= ANCHORS_AT_ONCE:
+        return _top(_best_of_block(rows, table, k2, digits), k)
+    parts = None
+    for b in range(-(-n // ANCHORS_AT_ONCE)):
+        part = _best_of_block(rows, table.where((F.col("idx") / ANCHORS_AT_ONCE).cast("int") == b), k2, digits)
+        parts = part if parts is None else parts.unionByName(part)
+    merged = parts.groupBy("id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("best"))), 1, k2).alias("best"))
+    return _top(merged, k)
+
+
+def _top(rows: DataFrame, k: int) -> DataFrame:
+    """The columns of ``top_k`` from id and best."""
+    top1, top2 = F.get("best", F.lit(0))["score"], F.when(F.size("best") > 0, F.coalesce(F.get("best", F.lit(1))["score"], F.lit(0.0)))
+    return rows.select("id", F.slice("best", 1, k).alias("best"), top1.alias("top1"), top2.alias("top2"), (top1 - top2).alias("margin"), F.get("best", F.lit(0))["anchor_id"].alias("winner"))
+
+
 def ranked(scores: DataFrame) -> DataFrame:
     """scores with rank: by falling score, ties to the lowest anchor."""
     return scores.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "idx")))
@@ -37,27 +121,78 @@ def ranked(scores: DataFrame) -> DataFrame:
 def top_k(scores: DataFrame, k: int) -> DataFrame:
     """One row per document: best (array of up to k structs of anchor_id, score), top1, top2 (0 where there is one anchor), margin, winner.
 
-    The best k are gathered by a bounded aggregation per document, so no window over all pairs is sorted.
+    For a table of scores that is there already: all scores of a document meet in one row.
     """
-    k2 = max(k, 2)
-    best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("neg"), F.col("idx").alias("idx"), F.col("anchor_id").alias("anchor_id"), F.col("score").alias("score")))), 1, k2)
-    rows = scores.groupBy("id").agg(best.alias("best"))
-    top1, top2 = F.get("best", 0)["score"], F.coalesce(F.get(F.col("best"), F.lit(1))["score"], F.lit(0.0))
-    return rows.select("id", F.slice("best", 1, k).alias("best"), top1.alias("top1"), top2.alias("top2"), (top1 - top2).alias("margin"), F.get("best", 0)["anchor_id"].alias("winner"))
+    best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("neg"), F.col("idx").alias("idx"), F.col("anchor_id").alias("anchor_id"), F.col("score").alias("score")))), 1, max(k, 2))
+    return _top(scores.groupBy("id").agg(best.alias("best")), k)
+
+
+def _topped(scores: DataFrame, k: int) -> DataFrame:
+    """``top_k`` of scores, or a result of ``best_anchors`` as it is."""
+    return scores.withColumn("best", F.slice("best", 1, k)) if "best" in scores.columns else top_k(scores, k)
+
 
+def quantile(df: DataFrame, value: str, q: float, by: str | None = None) -> DataFrame:
+    """(by,) n, cut: the interpolated quantile of the values, of each group's where ``by`` is given.
 
-def cuts(top: DataFrame, *, adaptive: str, threshold: float, quantile: float, min_support: int) -> DataFrame:
+    Up to ``EXACT_ROWS`` rows the values are sorted in one aggregate.  Past that histograms are
+    zoomed in to the two values around the place: a few aggregates of at most ``BINS`` cells a group.
+    """
+    keys = [by] if by else []
+    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
+    whole = F.expr(f"percentile(_v, {float(q)}D)").alias("cut")
+    if rows.limit(EXACT_ROWS + 1).count() <= EXACT_ROWS:
+        return rows.groupBy(*keys).agg(F.count("*").alias("n"), whole)
+    rows = rows.withColumn("_g", F.col(by) if by else F.lit(0))
+    spread = rows.groupBy("_g").agg(F.count("*").alias("n"), F.min("_v").alias("lo"), F.max("_v").alias("hi"))
+    place = F.lit(float(q)) * (F.col("n") - 1)
+    ends = [_ranked_value(rows, spread.select("_g", "n", "lo", "hi", F.floor(place + up).cast("long").alias("rank"))) for up in (0, 1)]
+    low, high = ends[0].withColumnRenamed("x", "low"), ends[1].select("_g", F.col("x").alias("high"))
+    part = place - F.floor(place)
+    cut = F.when(part > 0, F.col("low") + (F.col("high") - F.col("low")) * part).otherwise(F.col("low"))
+    out = spread.select("_g", "n").join(low, "_g").join(high, "_g", "left").select(F.col("_g"), "n", cut.alias("cut"))
+    return out.withColumnRenamed("_g", by) if by else out.drop("_g")
+
+
+def _ranked_value(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """_g, x: the value at a rank (from 0) of each group; a rank past the end gives the largest value."""
+    spark = rows.sparkSession
+    open_ = {r["_g"]: (r["lo"], r["hi"], min(r["rank"], r["n"] - 1)) for r in wanted.collect()}  # one row a group
+    done: dict = {}
+    kind = rows.schema["_g"].dataType
+    cell_of = F.least(F.floor((F.col("_v") - F.col("lo")) / F.col("width")), F.lit(BINS - 1))
+    while open_:
+        done |= {g: lo for g, (lo, hi, _) in open_.items() if lo == hi}
+        open_ = {g: x for g, x in open_.items() if g not in done}
+        if not open_:
+            break
+        schema = ty.StructType([ty.StructField("_g", kind), ty.StructField("lo", ty.DoubleType()), ty.StructField("hi", ty.DoubleType()), ty.StructField("width", ty.DoubleType()), ty.StructField("rank", ty.LongType())])
+        table = spark.createDataFrame([(g, lo, hi, max((hi - lo) / BINS, 5e-324), rank) for g, (lo, hi, rank) in open_.items()], schema)
+        cells = rows.join(F.broadcast(table), "_g").where("_v between lo and hi").groupBy("_g", "rank", cell_of.alias("cell")).agg(F.count("*").alias("c"), F.min("_v").alias("a"), F.max("_v").alias("b"))
+        before = F.coalesce(F.sum("c").over(Window.partitionBy("_g").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        picked = cells.withColumn("before", before).where("before <= rank and rank < before + c").collect()
+        open_ = {r["_g"]: (r["a"], r["b"], r["rank"] - r["before"]) for r in picked}
+    return spark.createDataFrame(list(done.items()), ty.StructType([ty.StructField("_g", kind), ty.StructField("x", ty.DoubleType())]))
+
+
+def cuts(top: DataFrame, *, adaptive: str, threshold: float, quantile_at: float, min_support: int) -> DataFrame:
     """winner, cut: the acceptance cut of every winner; the threshold where its support is too small."""
     if adaptive == "none":
         return top.select("winner").distinct().withColumn("cut", F.lit(float(threshold)))
-    q = F.expr(f"percentile(top1, {float(quantile)}D)")
     if adaptive == "global-quantile":
-        return top.select("winner").distinct().crossJoin(F.broadcast(top.agg(q.alias("cut"))))
+        return top.select("winner").distinct().crossJoin(F.broadcast(quantile(top, "top1", quantile_at).select("cut")))
     if adaptive == "per-anchor-quantile":
-        return top.groupBy("winner").agg(F.when(F.count("*") >= min_support, q).otherwise(F.lit(float(threshold))).alias("cut"))
+        return quantile(top, "top1", quantile_at, "winner").select("winner", F.when(F.col("n") >= min_support, F.col("cut")).otherwise(F.lit(float(threshold))).alias("cut"))
     raise ValueError(f"unknown strategy {adaptive!r}")
 
 
+def _judged(top: DataFrame, adaptive: str, threshold: float, quantile: float, min_support: int) -> DataFrame:
+    """top with cut, null where no document of the winner has a score."""
+    if adaptive == "none":
+        return top.withColumn("cut", F.lit(float(threshold)))
+    return top.join(F.broadcast(cuts(top, adaptive=adaptive, threshold=threshold, quantile_at=quantile, min_support=min_support)), "winner", "left")
+
+
 def _wide(df: DataFrame, k: int, prefix: str, labels: DataFrame | None, shown: Column) -> DataFrame:
     """Fixed columns {prefix}1_id, _label, _score ... for the first ``shown`` of the best."""
     mapped = df
@@ -75,9 +210,11 @@ def _wide(df: DataFrame, k: int, prefix: str, labels: DataFrame | None, shown: C
 
 
 def assign_anchors(scores: DataFrame, *, labels: DataFrame | None = None, topk: int = 1, threshold: float = 0.25, adaptive: str = "none", quantile: float = 0.80, min_support: int = 20) -> DataFrame:
-    """All k best anchors of a document whose best score reaches max(threshold, cut)."""
-    top = top_k(scores, topk)
-    judged = top.join(F.broadcast(cuts(top, adaptive=adaptive, threshold=threshold, quantile=quantile, min_support=min_support)), "winner")
+    """All k best anchors of a document whose best score reaches max(threshold, cut).
+
+    scores: a table of scores, or what ``best_anchors`` gives for topk or more.
+    """
+    judged = _judged(_topped(scores, topk), adaptive, threshold, quantile, min_support)
     accepted = F.col("top1") >= F.greatest(F.lit(float(threshold)), F.col("cut"))
     return _wide(judged.withColumn("n_labels", F.when(accepted, F.size("best")).otherwise(0)), topk, "anchor", labels, F.col("n_labels")).drop("margin")
 
@@ -85,12 +222,13 @@ def assign_anchors(scores: DataFrame, *, labels: DataFrame | None = None, topk:
 def classify_goals(scores: DataFrame, *, labels: DataFrame | None = None, topk: int = 1, threshold: float = 0.25, adaptive: str = "per-anchor-quantile", quantile: float = 0.80, min_margin: float = 0.0, margin_min_top1: float = 0.0, multi_margin: float = 0.0, multi_min_top1: float = 0.0, max_multi: int = 2, min_support: int = 10) -> DataFrame:
     """Threshold rule OR margin rule, with several labels where the margin is small.
 
+    scores: a table of scores, or what ``best_anchors`` gives for max(topk, max_multi, 2) or more.
+
     With the default ``min_margin`` of 0 every document whose best score is 0 or more is
     accepted; pass more than 1 to let the thresholds decide.
     """
     k = max(topk, max_multi, 2)
-    top = top_k(scores, k)
-    judged = top.join(F.broadcast(cuts(top, adaptive=adaptive, threshold=threshold, quantile=quantile, min_support=min_support)), "winner")
+    judged = _judged(_topped(scores, k), adaptive, threshold, quantile, min_support)
     by_score = F.col("top1") >= F.greatest(F.lit(float(threshold)), F.col("cut"))
     by_margin = (F.col("margin") >= min_margin) & (F.col("top1") >= margin_min_top1)
     several = (F.lit(multi_margin) > 0) & (F.col("margin") < multi_margin) & (F.col("top1") >= multi_min_top1)
@@ -104,20 +242,31 @@ def summary(assigned: DataFrame, prefix: str) -> DataFrame:
     return assigned.where(F.col(f"{prefix}1_id").isNotNull()).groupBy(F.col(f"{prefix}1_id").alias("id"), F.col(f"{prefix}1_label").alias("label")).agg(F.count("*").alias("n_docs")).orderBy(F.desc("n_docs"), "id")
 
 
+def _reached(top: DataFrame, value: str, levels: list[float]) -> dict[float, float]:
+    """The share of rows (that have the value) at or above each level; one cell a level leaves the scan."""
+    levels = sorted(set(levels))
+    cell = F.size(F.filter(F.array(*[F.lit(x) for x in levels]), lambda x: x <= F.col(value)))
+    counts = {r["cell"]: r["n"] for r in top.where(F.col(value).isNotNull()).groupBy(cell.alias("cell")).agg(F.count("*").alias("n")).collect()}
+    n = sum(counts.values())
+    return {x: sum(c for i, c in counts.items() if i > j) / n if n else 0.0 for j, x in enumerate(levels)}
+
+
 def coverage_sweep(top: DataFrame, quantiles: list[float], floors: list[float], margins: tuple[float, ...] = (0.03, 0.05, 0.07)) -> DataFrame:
     """rule, quantile, floor, cut, coverage for the grid of quantiles and floors, and for the margin rules.
 
-    All quantiles come from one pass and all coverages from another.
+    Documents are counted by the cuts they reach, once for all rules; the grid itself is small.
     """
     spark = top.sparkSession
-    qs = top.agg(F.expr(f"percentile(top1, array({', '.join(f'{q}D' for q in quantiles)}))").alias("qs"))
-    grid = spark.createDataFrame([(i, float(q), float(f)) for i, q in enumerate(quantiles) for f in floors], "i int, quantile double, floor double")
-    rules = grid.crossJoin(F.broadcast(qs)).select(F.lit("quantile").alias("rule"), "quantile", "floor", F.greatest(F.get("qs", F.col("i")), F.col("floor")).alias("cut"))
-    margin_rules = spark.createDataFrame([(f"margin>={m:.2f}", float(m)) for m in margins], "rule string, cut double").select("rule", F.lit(None).cast("double").alias("quantile"), F.lit(None).cast("double").alias("floor"), "cut")
-    rules = rules.unionByName(margin_rules)
-    both = top.select("top1", "margin").crossJoin(F.broadcast(rules))
-    ok = F.when(F.col("rule") == "quantile", F.col("top1") >= F.col("cut")).otherwise(F.col("margin") >= F.col("cut"))
-    return both.groupBy("rule", "quantile", "floor", "cut").agg(F.avg(ok.cast("int")).alias("coverage"))
+    at = {q: quantile(top, "top1", q).first() for q in quantiles} if top.limit(EXACT_ROWS + 1).count() > EXACT_ROWS else None
+    if at is None:
+        row = top.agg(F.expr(f"percentile(top1, array({', '.join(f'{float(q)}D' for q in quantiles)}))").alias("qs")).first()
+        values = dict(zip(quantiles, row["qs"] or [None] * len(quantiles), strict=True))
+    else:
+        values = {q: r["cut"] if r else None for q, r in at.items()}
+    grid = [(q, f, max(values[q], f)) for q in quantiles for f in floors if values[q] is not None]
+    share, by_margin = _reached(top, "top1", [c for *_, c in grid]), _reached(top, "margin", list(margins))
+    rows = [("quantile", float(q), float(f), float(c), share[c]) for q, f, c in grid] + [(f"margin>={m:.2f}", None, None, float(m), by_margin[m]) for m in margins]
+    return spark.createDataFrame(rows, "rule string, quantile double, floor double, cut double, coverage double")
 
 
 def max_coverage(sweep: DataFrame) -> DataFrame:
@@ -126,10 +275,15 @@ def max_coverage(sweep: DataFrame) -> DataFrame:
 
 
 def coverage_curve(top: DataFrame, points: int = 501) -> DataFrame:
-    """cut, coverage at equally spaced cuts in [0, 1]: counts by cell, then a running sum over the cells alone."""
-    spark = top.sparkSession
-    cells = spark.range(points).select((F.col("id") / (points - 1)).alias("cut"))
-    return top.select("top1").crossJoin(F.broadcast(cells)).groupBy("cut").agg(F.avg((F.col("top1") >= F.col("cut")).cast("int")).alias("coverage"))
+    """cut, coverage at equally spaced cuts in [0, 1]: documents are counted by the last cut they reach, the running sum goes over the cells alone."""
+    spark, last = top.sparkSession, points - 1
+    x, guess = F.col("top1"), F.floor(F.col("top1") * last)
+    reached = F.when((guess + 1) / last <= x, guess + 1).when(guess / last > x, guess - 1).otherwise(guess)
+    cells = top.where("top1 is not null").groupBy(F.least(F.greatest(reached, F.lit(-1)), F.lit(last)).alias("cell")).agg(F.count("*").alias("n"))
+    grid = spark.range(points).select(F.col("id").alias("cell")).unionByName(spark.range(1).select(F.lit(-1).cast("long").alias("cell")))
+    full = grid.join(cells, "cell", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    above = F.sum("n").over(Window.orderBy(F.desc("cell")).rowsBetween(Window.unboundedPreceding, 0))
+    return full.withColumns({"above": above, "all": F.sum("n").over(Window.partitionBy())}).where("cell >= 0").select((F.col("cell") / last).alias("cut"), F.when(F.col("all") > 0, F.col("above") / F.col("all")).alias("coverage"))
 
 
 def histogram(df: DataFrame, value: str, bins: int = 50, by: str | None = None) -> DataFrame:
@@ -151,13 +305,21 @@ def grid_counts(df: DataFrame, x: str, y: str, bins: int = 40) -> DataFrame:
 
 
 def align(docs: DataFrame, vectors: DataFrame, on: str = "id", strict: bool = False) -> DataFrame:
-    """Vectors with their documents' columns, null where there is no document; ``strict`` raises if any is missing."""
-    joined = vectors.join(docs, on, "left")
-    if strict:
-        missing = vectors.join(docs, on, "left_anti").limit(1).count()
-        if missing:
-            raise ValueError("vectors without a document")
-    return joined
+    """Vectors with their documents' columns, null where there is no document; with ``strict`` the first row without one stops the job."""
+    if not strict:
+        return vectors.join(docs, on, "left")
+    joined = vectors.join(docs.withColumn("_there", F.lit(True)), on, "left")
+    checked = F.when(F.col("_there").isNull(), F.raise_error(F.lit("vectors without a document")).cast("boolean")).otherwise(F.lit(True))
+    return joined.where(checked).drop("_there")
+
+
+def align_by_place(docs: DataFrame, vectors: DataFrame, on: str = "id") -> DataFrame:
+    """Both sides joined by key, after a check that they hold the same keys, each once: what a check of equal length and order guards."""
+    n = vectors.count()
+    both = docs.join(vectors, on)
+    if not n == docs.count() == both.count() == both.select(on).distinct().count():
+        raise ValueError("documents and vectors don't hold the same keys")
+    return both
 
 
 def with_label(df: DataFrame, labels: DataFrame, key: str, label_key: str = "id", label: str = "label") -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Hierarchy words that say nothing in a header.
@@ -36,6 +36,27 @@ def short_header(name: str, most: int = 4) -> str:
     return " ".join(re.sub(r"(?<!^)(?=[A-Z])", " ", text).split()).title()
 
 
+def simple_header_column(c: Column) -> Column:
+    """``simple_header`` of a column of names."""
+    return title_case(F.replace(F.regexp_replace(c, f"{_TEXT}$", ""), F.lit("_"), F.lit(" ")))
+
+
+def title_case(c: Column) -> Column:
+    """Each run of letters with a capital first and small letters after, as Python's ``title`` does."""
+    parts = F.regexp_extract_all(c, F.lit(r"(\p{L}+|[^\p{L}]+)"), F.lit(1))
+    return F.array_join(F.transform(parts, lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.lower(F.substring(p, 2, 1 << 20)))), "")
+
+
+def short_header_column(c: Column, most: int = 4) -> Column:
+    """``short_header`` of a column of names."""
+    words = F.split(F.regexp_replace(c, f"{_TEXT}$", ""), "_")
+    words = F.transform(F.filter(words, lambda w: ~F.lower(w).isin(HIERARCHY_WORDS)), lambda w: F.regexp_replace(w, "(?i)(type|status)$", ""))
+    first = F.filter(words, lambda w, i: (w != "") & ~F.exists(F.slice(words, 1, i), lambda v: F.lower(v) == F.lower(w)))
+    text = F.replace(F.array_join(F.slice(first, F.greatest(F.size(first) - most + 1, F.lit(1)), most), " "), F.lit("-"), F.lit(" "))
+    spaced = F.trim(F.regexp_replace(F.regexp_replace(text, "(?<!^)(?=[A-Z])", " "), r"\s+", " "))
+    return F.when(c == "id", "Id").when(c == "Metadata_id", "Metadata Id").otherwise(title_case(spaced))
+
+
 def unique(names: list[str], second: dict[str, str] | None = None) -> list[str]:
     """Names made distinct: later ones take a given other name or a number."""
     seen: dict[str, int] = {}

@@ -63,3 +63,9 @@ def explode_links(df: DataFrame, cell: str, keep: list[str]) -> DataFrame:
         F.initcap(normalize_type(link["target"])).alias("links_target_types"),
         link["target"]["id"].alias("links_target_ids"),
     )
+
+
+def part_of(links: DataFrame, *, dataset: str, publication: str, dataset_base: str, publication_base: str, predicate: str) -> DataFrame:
+    """subject, predicate, object: each distinct dataset is part of its publication; rows that lack an end give nothing."""
+    rows = links.where(F.col(dataset).isNotNull() & F.col(publication).isNotNull())
+    return rows.select(F.concat(F.lit(dataset_base), F.col(dataset).cast("string")).alias("subject"), F.lit(predicate).alias("predicate"), F.concat(F.lit(publication_base), F.col(publication).cast("string")).alias("object")).distinct()

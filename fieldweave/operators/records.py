@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import time
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame
@@ -42,7 +43,7 @@ def to_list(v: Column) -> Column:
     """Any JSON value as trimmed strings without blanks."""
     items = F.try_variant_get(v, "$", "array<variant>")
     several = F.transform(items, lambda x: T.strip(_leaf_text(x)))
-    one = F.split(F.when(F.schema_of_variant(v).startswith("STRING"), v.cast("string")).otherwise(_leaf_text(v)), r"\s*[;,]\s*")
+    one = F.split(F.when(F.schema_of_variant(v).startswith("STRING"), v.cast("string")).otherwise(_leaf_text(v)), rf"{T.WHITE}*[;,]{T.WHITE}*")
     return F.filter(F.coalesce(several, F.transform(one, T.strip)), lambda x: x != "")
 
 
@@ -112,7 +113,7 @@ def validate(df: DataFrame, raw: str, schema: dict, *, key: str = "id") -> DataF
     checked for types, allowed values and unknown keys.
     """
     properties = schema.get("properties", {})
-    text = T.strip(F.regexp_replace(F.regexp_replace(T.strip(F.col(raw)), r"(?i)^```json\s*", ""), r"\s*```$", ""))
+    text = T.strip(F.regexp_replace(F.regexp_replace(T.strip(F.col(raw)), rf"(?i)^```json{T.WHITE}*", ""), rf"{T.WHITE}*```$", ""))
     record = F.try_parse_json(text)
     is_object = F.coalesce(F.schema_of_variant(record).startswith("OBJECT"), F.lit(False))
     errors, fields = [F.when(~is_object, F.lit("JSON parse error"))], []
@@ -169,8 +170,12 @@ def infer(df: DataFrame, call: Callable[[str, str], str], *, key: str = "id", sy
     return df.select(key, system, user).mapInPandas(run, schema)
 
 
-def embed(df: DataFrame, call: Callable[[list[str]], list[list[float]]], *, key: str = "id", text: str = "text", batch: int = 64, attempts: int = 6) -> DataFrame:
-    """key, embedding: texts sent in batches to an embedding callable, each batch tried again on failure."""
+def embed(df: DataFrame, call: Callable[[list[str]], list[list[float]]], *, key: str = "id", text: str = "text", batch: int = 64, attempts: int = 6, wait: float = 0.0, doubling: bool = False) -> DataFrame:
+    """key, embedding: texts sent in batches to an embedding callable.
+
+    A batch that fails is tried again after a wait, which grows by itself each time or doubles;
+    after the last attempt the job fails.
+    """
 
     def run(batches: Iterator):
         import pandas as pd
@@ -178,13 +183,14 @@ def embed(df: DataFrame, call: Callable[[list[str]], list[list[float]]], *, key:
         for pdf in batches:
             for at in range(0, len(pdf), batch):
                 part = pdf.iloc[at : at + batch]
-                for left in range(attempts - 1, -1, -1):
+                for done in range(1, attempts + 1):
                     try:
                         vectors = call([t or "" for t in part[text]])
                         break
                     except Exception:
-                        if not left:
+                        if done == attempts:
                             raise
+                        time.sleep(wait * (2 ** (done - 1) if doubling else done))
                 yield pd.DataFrame({key: part[key].to_numpy(), "embedding": [list(map(float, v)) for v in vectors]})
 
     schema = ty.StructType([df.schema[key], ty.StructField("embedding", ty.ArrayType(ty.FloatType()))])

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import queries_graph, queries_scores, queries_text
+from . import queries_graph, queries_io, queries_scores, queries_text
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _module in (queries_scores, queries_text, queries_graph):
+for _module in (queries_scores, queries_text, queries_graph, queries_io):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES

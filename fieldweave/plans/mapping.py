@@ -237,6 +237,10 @@ def read_mapping(text: str) -> list[TriplesMap]:
 
 _PART = re.compile(r"\{([^{}]+)\}")
 
+# Natural datatypes of column types.
+XSD = "http://www.w3.org/2001/XMLSchema#"
+NATURAL = {"tinyint": "integer", "smallint": "integer", "int": "integer", "bigint": "integer", "decimal": "decimal", "float": "double", "double": "double", "boolean": "boolean", "date": "date", "timestamp": "dateTime", "timestamp_ntz": "dateTime", "binary": "hexBinary"}
+
 
 def template_columns(template: str) -> list[str]:
     return _PART.findall(template)
@@ -245,9 +249,11 @@ def template_columns(template: str) -> list[str]:
 class Compiler:
     """Term maps to expressions over the columns of one logical table."""
 
-    def __init__(self, maps: list[TriplesMap], columns: list[str]):
+    def __init__(self, maps: list[TriplesMap], columns: list[tuple[str, str]]):
+        """columns: (name, type) of the table's columns."""
         self.subjects = {m.name: m.subject for m in maps}
-        self.columns = {c.lower(): c for c in columns}
+        self.columns = {c.lower(): c for c, _ in columns}
+        self.types = {c.lower(): t for c, t in columns}
 
     def column(self, name: str) -> Column | None:
         known = self.columns.get(name.strip('"').lower())
@@ -276,6 +282,13 @@ class Compiler:
             parts.append(F.lit(term.template[at:]))
         return F.concat(*parts) if len(parts) > 1 else parts[0]
 
+    def datatype(self, term: Term) -> str | None:
+        """The term's datatype: as given, else the natural one of its column's type."""
+        if term.datatype or term.column is None or term.language or self.kind(term) != "literal":
+            return term.datatype
+        kind = self.types.get(term.column.strip('"').lower(), "").split("(")[0]
+        return XSD + NATURAL[kind] if kind in NATURAL else None
+
     def kind(self, term: Term) -> str:
         return "iri" if term.parent is not None else term.kind or "iri"
 
@@ -295,7 +308,7 @@ class Compiler:
             if any(v is None for v in values):
                 return
             s, p, o, g = values
-            quad = F.struct(g.alias("graph"), s.alias("subject"), p.alias("predicate"), o.alias("object"), F.lit(self.kind(obj)).alias("object_kind"), F.lit(obj.language).cast("string").alias("lang"), F.lit(obj.datatype).cast("string").alias("datatype"))
+            quad = F.struct(g.alias("graph"), s.alias("subject"), p.alias("predicate"), o.alias("object"), F.lit(self.kind(obj)).alias("object_kind"), F.lit(obj.language).cast("string").alias("lang"), F.lit(self.datatype(obj)).cast("string").alias("datatype"))
             there = [v.isNotNull() for v, t in zip(values, terms, strict=True) if not self.constant(t)]
             whole = quad
             if there:
@@ -321,7 +334,7 @@ QUAD = ["graph", "subject", "predicate", "object", "object_kind", "lang", "datat
 
 
 def _of_table(table: DataFrame, maps: list[TriplesMap], all_maps: list[TriplesMap]) -> DataFrame | None:
-    compiler = Compiler(all_maps, table.columns)
+    compiler = Compiler(all_maps, table.dtypes)
     found = [q for m in maps if m.subject is not None for q in compiler.quads(m)]
     varying, fixed = [q for q, same in found if not same], [q for q, same in found if same]
     parts = [table.select(F.explode(F.array_compact(F.array(*varying[i : i + CHUNK]))).alias("q")).select("q.*") for i in range(0, len(varying), CHUNK)]
@@ -353,6 +366,14 @@ def compile_mapping(spark: SparkSession, maps: list[TriplesMap], tables: dict[st
     return out.select(*QUAD).dropDuplicates()
 
 
+def turtle(quads: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """One Turtle statement a subject, in the column ``value``: its predicates and objects in order, whatever the graph."""
+    lines = n_quads(quads.withColumn("graph", F.lit("")), [*(keep or []), "subject"])
+    rows = lines.withColumn("pair", F.regexp_replace("value", r"^<[^>]*> | \.$", ""))
+    whole = F.concat(F.lit("<"), F.col("subject"), F.lit("> "), F.array_join(F.array_sort(F.collect_set("pair")), " ;\n    "), F.lit(" ."))
+    return rows.groupBy(*(keep or []), "subject").agg(whole.alias("value")).drop("subject")
+
+
 def n_quads(quads: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """One N-Quads line a quad, in the column ``value``, with kept columns before it."""
     escape = lambda c: F.replace(F.replace(F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit("\n"), F.lit("\\n")), F.lit("\r"), F.lit("\\r"))

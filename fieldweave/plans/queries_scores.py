@@ -42,6 +42,11 @@ def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.withColumn("score", F.round("score", 9))
 
 
+def best(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+    """The k best anchors of every vector, with the scores that ``scores`` has."""
+    return assign.best_anchors(table(spark, sf_dir, "embeddings"), anchors(spark, sf_dir), k, doc_id="vec_id", digits=9)
+
+
 _SCORES = """
 WITH means AS (SELECT label AS anchor_id, i, avg(x) AS m FROM (SELECT label, unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding))) AS i FROM embeddings) AS e GROUP BY label, i),
 anchors AS (SELECT anchor_id, list(m ORDER BY i) AS v FROM means GROUP BY anchor_id),
@@ -63,7 +68,7 @@ def cosine_pairs(spark, sf_dir):
 
 @query(_SCORES + f"SELECT id, winner AS winner_goal_id, {named('winner')} AS winner_goal_label, round(top1, 6) AS top1, round(top2, 6) AS top2, round(margin, 6) AS margin FROM top")
 def top1_margin(spark, sf_dir):
-    top = assign.top_k(scores(spark, sf_dir), 2)
+    top = best(spark, sf_dir, 2)
     return assign.with_label(top.withColumnRenamed("winner", "winner_goal_id"), names(spark, sf_dir), "winner_goal_id", "anchor_id").select("id", "winner_goal_id", F.col("label").alias("winner_goal_label"), *[F.round(c, 6).alias(c) for c in ("top1", "top2", "margin")])
 
 
@@ -80,17 +85,17 @@ def _assigned_sql(cut: str, extra: str) -> str:
 
 @query(_assigned_sql("0.0", ", cuts AS (SELECT DISTINCT winner FROM top)"))
 def anchor_topk(spark, sf_dir):
-    return assign.assign_anchors(scores(spark, sf_dir), labels=names(spark, sf_dir), topk=3)
+    return assign.assign_anchors(best(spark, sf_dir, 3), labels=names(spark, sf_dir), topk=3)
 
 
 @query(_assigned_sql("cut", ", cuts AS (SELECT DISTINCT winner, (SELECT round(quantile_cont(top1, 0.8), 9) FROM top) AS cut FROM top)"))
 def anchor_global_quantile(spark, sf_dir):
-    return assign.assign_anchors(scores(spark, sf_dir), labels=names(spark, sf_dir), topk=3, adaptive="global-quantile")
+    return assign.assign_anchors(best(spark, sf_dir, 3), labels=names(spark, sf_dir), topk=3, adaptive="global-quantile")
 
 
 @query(_assigned_sql("cut", ", cuts AS (SELECT winner, CASE WHEN count(*) >= 20 THEN round(quantile_cont(top1, 0.8), 9) ELSE 0.25 END AS cut FROM top GROUP BY winner)"))
 def anchor_per_quantile(spark, sf_dir):
-    return assign.assign_anchors(scores(spark, sf_dir), labels=names(spark, sf_dir), topk=3, adaptive="per-anchor-quantile")
+    return assign.assign_anchors(best(spark, sf_dir, 3), labels=names(spark, sf_dir), topk=3, adaptive="per-anchor-quantile")
 
 
 _GOAL_CUTS = ", cuts AS (SELECT winner, CASE WHEN count(*) >= 10 THEN round(quantile_cont(top1, 0.8), 9) ELSE 0.25 END AS cut FROM top GROUP BY winner)"
@@ -106,17 +111,17 @@ _BY_CUT = "top1 >= greatest(0.25, cut)"
 
 @query(_goals_sql(_BY_CUT, "1"))
 def goal_threshold(spark, sf_dir):
-    return assign.classify_goals(scores(spark, sf_dir), labels=names(spark, sf_dir), min_margin=1.5)
+    return assign.classify_goals(best(spark, sf_dir, 2), labels=names(spark, sf_dir), min_margin=1.5)
 
 
 @query(_goals_sql(f"{_BY_CUT} OR (margin >= 0.03 AND top1 >= 0.1)", "1"))
 def goal_margin(spark, sf_dir):
-    return assign.classify_goals(scores(spark, sf_dir), labels=names(spark, sf_dir), min_margin=0.03, margin_min_top1=0.1)
+    return assign.classify_goals(best(spark, sf_dir, 2), labels=names(spark, sf_dir), min_margin=0.03, margin_min_top1=0.1)
 
 
 @query(_goals_sql(f"{_BY_CUT} OR margin >= 0.0", "CASE WHEN margin < 0.05 AND top1 >= 0.1 THEN 2 ELSE 1 END"))
 def goal_multilabel(spark, sf_dir):
-    return assign.classify_goals(scores(spark, sf_dir), labels=names(spark, sf_dir), multi_margin=0.05, multi_min_top1=0.1)
+    return assign.classify_goals(best(spark, sf_dir, 2), labels=names(spark, sf_dir), multi_margin=0.05, multi_min_top1=0.1)
 
 
 @query(_SCORES + f"{_GOAL_CUTS} SELECT winner::VARCHAR AS id, {named('winner')} AS label, count(*) AS n_docs FROM top JOIN cuts USING (winner) WHERE {_BY_CUT} GROUP BY winner")
@@ -129,7 +134,7 @@ _FLOORS = [0.12, 0.14, 0.16, 0.18, 0.20, 0.22, 0.24, 0.26]
 
 
 def _top(spark, sf_dir):
-    return assign.top_k(scores(spark, sf_dir), 2)
+    return best(spark, sf_dir, 2)
 
 
 def _sweep(spark, sf_dir):

@@ -68,7 +68,9 @@ def key_intersection(spark, sf_dir):
 
 # ---- scalars ----
 
-_NORM = r"regexp_replace(translate(lower(regexp_replace({x}, '^\s+|\s+$', '', 'g')), '’“”', '''\"\"'), '\s+', ' ', 'g')".replace('\\"', '"')
+#: What Python takes as white space, for DuckDB's regular expressions.
+_BLANK = r"[\t-\r\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+_NORM = f"regexp_replace(translate(lower(regexp_replace({{x}}, '^{_BLANK}+|{_BLANK}+$', '', 'g')), '’“”', '''\"\"'), '{_BLANK}+', ' ', 'g')"
 
 
 def norm(x: str) -> str:
@@ -77,7 +79,7 @@ def norm(x: str) -> str:
 
 def split_sql(x: str, ignored: bool = False) -> str:
     """Ordered distinct parts as a list: the first place of every value."""
-    parts = f"list_filter(list_transform(regexp_split_to_array({x}, '\\s*[;,]\\s*'), lambda p: {norm('p')}), lambda p: p <> ''{' AND p NOT IN (' + ', '.join(repr(v) for v in text.IGNORED) + ')' if ignored else ''})"
+    parts = f"list_filter(list_transform(regexp_split_to_array({x}, '{_BLANK}*[;,]{_BLANK}*'), lambda p: {norm('p')}), lambda p: p <> ''{' AND p NOT IN (' + ', '.join(repr(v) for v in text.IGNORED) + ')' if ignored else ''})"
     return f"list_filter({parts}, lambda v, i: list_position({parts}, v) = i)"
 
 
@@ -172,12 +174,20 @@ def title_abstract(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", s["title"].alias("title"), s["abstract"].alias("abstract"))
 
 
-@query()
+_PATH = "'Metadata_generalType_' || array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || lower(w[2:])), '_') || 'Type_#text'"
+_TITLE = "array_to_string(list_transform(string_split({x}, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ')"
+
+
+@query(
+    f"""WITH p AS (SELECT DISTINCT {_PATH} AS path FROM part), w AS (SELECT path, list_filter(list_transform(string_split(regexp_replace(path, '_#text$', ''), '_'), lambda w: regexp_replace(w, '(type|status)$', '', 'i')), lambda w: w <> '' AND lower(w) NOT IN ('metadata', 'general')) AS ws FROM p),
+d AS (SELECT path, list_filter(ws, lambda w, i: list_position(list_transform(ws, lambda v: lower(v)), lower(w)) = i) AS ds FROM w)
+SELECT path, {_TITLE.replace('{x}', "replace(regexp_replace(path, '_#text$', ''), '_', ' ')")} AS simple, {_TITLE.replace('{x}', "array_to_string(list_slice(ds, greatest(len(ds) - 3, 1), len(ds)), ' ')")} AS short FROM d"""
+)
 def header_simplify(spark, sf_dir):
-    """The simplified header of every part name read as a tree path; names are few per table, so this is a lookup over distinct ones."""
-    paths = table(spark, sf_dir, "part").select(F.concat(F.lit("Metadata_generalType_"), F.replace(F.initcap("p_name"), F.lit(" "), F.lit("_")), F.lit("Type_#text")).alias("path")).distinct()
-    names = [r[0] for r in paths.toLocalIterator()]
-    return spark.createDataFrame([(n, headers.simple_header(n), headers.short_header(n)) for n in names], "path string, simple string, short string")
+    """The simplified headers of every part name read as a tree path."""
+    path = F.concat(F.lit("Metadata_generalType_"), F.replace(F.initcap("p_name"), F.lit(" "), F.lit("_")), F.lit("Type_#text"))
+    paths = table(spark, sf_dir, "part").select(path.alias("path")).distinct()
+    return paths.select("path", headers.simple_header_column(F.col("path")).alias("simple"), headers.short_header_column(F.col("path")).alias("short"))
 
 
 # ---- topics ----
