@@ -51,6 +51,8 @@ MISS = 1e-6
 MEMBERS = 1024
 #: Rows of small keys that share a task.
 TOGETHER = 2048
+#: Links of what is left of the components that one task joins.
+LAST_LINKS = 20_000
 _NULL = -(2**63)
 _PRIME = np.uint32(0x9E3779B1)
 
@@ -273,17 +275,39 @@ def _rest(stars: DataFrame, sigs: DataFrame, needed: list[tuple[int, int]], memb
     return dealt.select("task", "key", "i", "j", "side", "x", "loose", "sig").groupBy("task").applyInArrow(run, "a long, b long")
 
 
+def _joined(batches):
+    """node, to: the smallest node that each node of links (a, b) reaches."""
+    up: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while up.setdefault(x, x) != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            a, b = root(a), root(b)
+            up[max(a, b)] = min(a, b)
+    nodes = list(up)
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([root(x) for x in nodes], pa.int64())], names=["node", "to"])
+
+
 def components(links: DataFrame, *, name: str = "components") -> DataFrame:
     """node, component (smallest node reachable) of every node in links (a, b).
 
     Each round every node moves to the least of its neighbours and itself, and once more from
     there, by an order drawn anew each round; links between nodes that moved to one place go.
-    So the links shrink in every round, and a chain or a star takes few of them.
+    So the links shrink in every round, and a chain or a star takes few of them.  The last
+    ``LAST_LINKS`` are joined in one task.
     """
     ends = F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
     links = written(links.where("a <> b").select(*ends).distinct(), name)
     moves: list[DataFrame] = []
     while not links.isEmpty():
+        if links.limit(LAST_LINKS + 1).count() <= LAST_LINKS:
+            moves.append(written(links.coalesce(1).mapInArrow(_joined, "node long, to long"), name))
+            break
         order = lambda c, seed=len(moves): F.struct(F.xxhash64(F.lit(seed), c).alias("h"), F.col(c).alias("to"))
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy(F.col("a").alias("node")).agg(F.min(order("b")).alias("m"))
