@@ -476,6 +476,53 @@ def test_automaton_against_regex():
         assert machine.run(words)[0] == max(accepted, default=0)
 
 
+def as_regex(markup):
+    """A template as a regular expression over words, each followed by a blank."""
+    out = ""
+    for m in re.finditer(r"<<beginOptional>>|<<endOptional>>|<<var;([^<>]*)>>|[0-9a-z]+", re.sub(r"^(<<var;[^<>]*max=[^<>]*>> ?)+", "", markup)):
+        if m[0].startswith("<<begin"):
+            out += "(?:"
+        elif m[0].startswith("<<end"):
+            out += ")?"
+        elif m[1]:
+            parts = dict(x.split("=") for x in m[1].split(";"))
+            out += f"(?:{parts['match']}) " if "match" in parts else rf"(?:\S+ ){{0,{parts['max']}}}"
+        else:
+            out += m[0] + " "
+    return re.compile(r"(?:^|(?<= ))" + out)
+
+
+def test_license_labels_against_regex(spark):
+    rng = random.Random(4)
+    fill = lambda n: " ".join(rng.choice(["some", "words", "here", "this", "under", "redistribution"]) for _ in range(n))
+
+    def said(markup, change):
+        words = []
+        for m in re.finditer(r"<<beginOptional>>(.*?)<<endOptional>>|<<var;([^<>]*)>>|[0-9a-z]+", markup):
+            if m[2]:
+                words += m[2].rsplit("match=")[-1].split("|")[:1] if "match=" in m[2] else fill(rng.randrange(3)).split()
+            elif m[0].startswith("<<"):
+                words += re.sub(r"<<var;[^<>]*>>", "thing", m[1]).split() * rng.randrange(2)
+            else:
+                words.append(m[0])
+        if change:
+            words[rng.randrange(len(words) * 2 // 3, len(words))] = "altered"
+        return f"{fill(rng.randrange(6))}\n\n{'; '.join(words).upper() if rng.random() < 0.5 else ' '.join(words)}. {fill(5)}"
+
+    own = [("lead", "<<var;name=who;max=4>> grants you rights <<var;name=how;match=freely|gladly>>")]
+    templates = licenses.TEMPLATES + own
+    texts_ = [said(m, change) for _, m in templates for change in (False, False, True)] + [None, "", "the mit license", "under the mit license"]
+    got = licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts_)), "doc_id long, text string"), templates=templates).collect()
+    known = [(label, as_regex(m)) for label, m in templates]
+    for r in got:
+        words = "".join(w + " " for w in TERM.findall((texts_[r["doc_id"]] or "").translate(LOWER)))
+        base = {label for p, label in licenses.PHRASES.items() if p + " " in words}
+        want = {label for label, pattern in known if pattern.search(words)}
+        assert r["labels"] == ",".join(sorted(want | base)), texts_[r["doc_id"]]
+        assert (r["score"] == 1.0) == bool(want)
+    assert {label for label, _ in templates} <= {x for r in got for x in r["labels"].split(",")}
+
+
 def test_url_lists(spark):
     day = lambda d: f"2024-01-{d:02d}"
     changes = spark.createDataFrame([("host", "A.example", "x", day(2), "add"), ("host", "a.example", "x", day(5), "remove"), ("host", "a.example", "x", day(8), "add"), ("domain", "example", "t", day(3), "add"), ("host", None, "x", day(1), "add"), ("host", "b.other", "x", day(4), "add"), ("host", "b.other", "x", day(4), "remove")], "kind string, pattern string, category string, at string, action string").withColumn("at", F.to_date("at"))
@@ -529,7 +576,9 @@ def test_near_dedup(spark, docs, rows, none, members, shingle):
     assert near_dedup.keep_first(df, members=members, shingle=shingle).count() == len({k for k, (_, c) in zip(key, want) if k == c})
 
 
-def test_components(spark):
+@pytest.mark.parametrize("last", [20_000, 30, 0])
+def test_components(spark, monkeypatch, last):
+    monkeypatch.setattr(near_dedup, "LAST_LINKS", last)
     rng = random.Random(3)
     chain = list(range(100, 160))
     rng.shuffle(chain)
