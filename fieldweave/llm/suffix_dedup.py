@@ -6,8 +6,9 @@ of the corpus, overlaps and the same document included.
 1. Every window of ``WIDTH`` bytes is named by the smallest hash of its ``GRAMS[0]``-byte
    grams; equal windows have equal names.  Consecutive windows of one name make a
    fragment, so each window lies in exactly one fragment.
-2. Fragments with equal bytes (a 64-bit identity under a 64-bit name) are one, with a count.
-   One of each goes on, where it occurs again, its name has other fragments or its own
+2. Fragments with equal bytes (a 64-bit identity under a 64-bit name) are one, with a count
+   and their places: in each task first, so that a passage of many documents is few rows
+   where they meet.  One of each goes on, where it occurs again, its name has other fragments or its own
    windows can be equal.
 3. Fragments are dealt by name into blocks of about ``BLOCK_BYTES``, those that occur again
    with a twin.  A run-length index of each block (see ``run_index``) is streamed for
@@ -43,6 +44,8 @@ GRAMS = (48, 128)
 #: Windows of a fragment at most.
 LONGEST = 512
 BLOCK_BYTES = 1 << 20
+#: Fragments of a task that are looked through for equal ones at once.
+GATHER = 1 << 17
 #: Different fragments of a name in one block at most.
 HOT = 4096
 
@@ -105,25 +108,54 @@ def _keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.withColumn("k", F.coalesce(F.col(key).cast("long"), F.xxhash64(F.lit(1), raw))).withColumn("c", F.xxhash64(raw))
 
 
+_PLACE = pa.struct([("k", pa.int64()), ("c", pa.int64()), ("lo", pa.int32())])
+
+
+def _collapsed(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+    """Equal fragments as one row: the place of the first, ``more`` places, and the sum of times."""
+    k, c, times, lo, n, name, identity, inner = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.lexsort((identity, name))
+    fresh = np.ones(len(order), dtype=bool)
+    fresh[1:] = (name[order][1:] != name[order][:-1]) | (identity[order][1:] != identity[order][:-1])
+    at = np.flatnonzero(fresh)
+    first, rest = order[at], order[~fresh]
+    size = np.diff(at, append=len(order)) - 1
+    ends = np.zeros(len(at) + 1, dtype=np.int32)
+    np.cumsum(size, out=ends[1:])
+    places = pa.StructArray.from_arrays([pa.array(k[rest]), pa.array(c[rest]), pa.array(lo[rest])], fields=list(_PLACE))
+    more = pa.ListArray.from_arrays(pa.array(ends), places, mask=pa.array(size == 0))
+    total = np.add.reduceat(times[order].astype(np.int64), at) if len(at) else np.zeros(0, dtype=np.int64)
+    columns = [pa.array(x[first]) for x in (k, c, lo, n, name.view(np.int64), identity.view(np.int64), inner)]
+    return pa.RecordBatch.from_arrays([*columns, pa.array(total), more], names=["k", "c", "lo", "n", "h", "f", "inner", "times", "more"])
+
+
 def _repeats(rows: DataFrame, width: int, gram: int) -> DataFrame:
-    """Fragments of rows (k, c, text, times) whose windows may repeat: k, c, lo, n, h (name), f (identity), twice (occurs again), indexed (one of each), kinds (different fragments of the name)."""
+    """Fragments of rows (k, c, text, times) whose windows may repeat: k, c, lo, more (further places), n, h (name), f (identity), twice (occurs again), indexed (one of each), kinds (different fragments of the name).
+
+    Equal fragments of about ``GATHER`` ones are one row before anything is shuffled.
+    """
 
     def run(batches):
+        parts, held = [], 0
         for batch in C.slices(batches, "text"):
             data, offsets = C.text_buffer(batch.column(2))
             row, name, identity, lo, n, inner = fragments(data, offsets, width, gram)
-            row = pa.array(row)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(row), batch.column(1).take(row), batch.column(3).take(row), pa.array(lo.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(name.view(np.int64)), pa.array(identity.view(np.int64)), pa.array(inner)],
-                names=["k", "c", "times", "lo", "n", "h", "f", "inner"],
-            )
-
-    found = rows.select("k", "c", "text", "times").mapInArrow(run, "k long, c long, times int, lo int, n int, h long, f long, inner boolean").repartition("h")
+            k, c, times = (batch.column(i).to_numpy()[row] for i in (0, 1, 3))
+            parts.append((k, c, times, lo.astype(np.int32), n.astype(np.int32), name, identity, inner))
+            held += len(row)
+            if held >= GATHER:
+                yield _collapsed(parts)
+                parts, held = [], 0
+        if parts:
+            yield _collapsed(parts)
+
+    places = "more array<struct<k:long,c:long,lo:int>>"
+    found = rows.select("k", "c", "text", "times").mapInArrow(run, f"k long, c long, lo int, n int, h long, f long, inner boolean, times long, {places}").repartition("h")
     same = Window.partitionBy("h", "f")
     found = found.withColumn("rn", F.row_number().over(same.orderBy("k", "c", "lo"))).withColumn("copies", F.sum("times").over(same))
     named = Window.partitionBy("h")
     found = found.withColumn("kinds", F.sum((F.col("rn") == 1).cast("int")).over(named))
-    return found.where("copies > 1 or kinds > 1 or inner").select("k", "c", "lo", "n", "h", "f", (F.col("copies") > 1).alias("twice"), (F.col("rn") == 1).alias("indexed"), "kinds")
+    return found.where("copies > 1 or kinds > 1 or inner").select("k", "c", "lo", "more", "n", "h", "f", (F.col("copies") > 1).alias("twice"), (F.col("rn") == 1).alias("indexed"), "kinds")
 
 
 def _cut_out(rows: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
@@ -194,8 +226,10 @@ def _spans(rows: DataFrame, width: int, grams: tuple[int, ...], hot: int, block_
         pieces = written(pieces.select(F.col("h").alias("k"), F.col("f").alias("c"), F.col("fragment").alias("text"), F.when(F.col("twice"), 2).otherwise(1).alias("times")), "hot-fragments")
         finer = _spans(pieces, width, grams[1:], hot, block_bytes)
         marked = marked.unionByName(finer.withColumnsRenamed({"k": "h", "c": "f"}))
-    places = repeats.select("k", "c", "lo", "h", "f").join(marked, ["h", "f"])
-    return places.select("k", "c", (F.col("lo") + F.col("start")).alias("start"), (F.col("lo") + F.col("end")).alias("end"))
+    found = repeats.select("k", "c", "lo", "more", "h", "f").join(marked, ["h", "f"])
+    places = F.concat(F.array(F.struct("k", "c", "lo")), F.coalesce("more", F.array().cast(repeats.schema["more"].dataType)))
+    found = found.select("start", "end", F.inline(places))
+    return found.select("k", "c", (F.col("lo") + F.col("start")).alias("start"), (F.col("lo") + F.col("end")).alias("end"))
 
 
 def repeated_spans(docs: DataFrame, *, key: str = "doc_id", text: str = "text", width: int = WIDTH, grams: tuple[int, ...] = GRAMS, hot: int = HOT, block_bytes: int = BLOCK_BYTES) -> DataFrame:

@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fieldweave.llm import archives, columnar, decontaminate, kd_shards, licenses, near_dedup, packing, quality, suffix_dedup, token_files, tokens, url_filters
+from fieldweave.llm import archives, columnar, decontaminate, kd_shards, licenses, near_dedup, packing, quality, storage, suffix_dedup, token_files, tokens, url_filters
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, k int, hits string, __note string"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -65,8 +65,9 @@ def test_words_match_patterns():
         assert got == [x for t in texts() for x in pattern.findall((t or "").translate(LOWER))]
 
 
-@pytest.mark.parametrize("hot", [4096, 1])
-def test_suffix_dedup(spark, docs, rows, none, hot):
+@pytest.mark.parametrize("hot, gather", [(4096, 1 << 17), (1, 40)])
+def test_suffix_dedup(spark, docs, rows, none, monkeypatch, hot, gather):
+    monkeypatch.setattr(suffix_dedup, "GATHER", gather)
     rng = random.Random(11)
     common = "".join(rng.choice("abcdef ") for _ in range(58))
     more = [(200 + i, "".join(rng.choice("xyz") for _ in range(rng.randrange(40))) + common + "".join(rng.choice("uv") for _ in range(rng.randrange(40))), "en", "a", 1, 7, "h", "n") for i in range(60)]
@@ -534,9 +535,26 @@ def test_url_lists(spark):
             got = {r["page_id"]: r for r in url_filters.filter_urls(captures, changes).collect()}
         finally:
             url_filters.BROADCAST_ROWS = keep
+        odd = url_filters.filter_urls(captures.withColumns({"__key": F.lit(1), "host": F.lit("x"), "kind": F.lit("y"), "salt": F.lit(3), "categories": F.lit(0)}), changes.withColumn("note", F.lit(1)))
+        assert odd.columns == ["page_id", "fetched", "host", "categories", "n_entries", "blocked"] and {r["page_id"]: r for r in odd.collect()} == got
         assert [got[i]["categories"] for i in range(9)] == want and [got[i]["blocked"] for i in range(9)] == [w != "" for w in want]
 
 
+def test_shared_folder_must_be_named_on_a_cluster(spark):
+    class Conf(dict):
+        getAll = {"spark.sql.execution.arrow.maxBytesPerBatch": "1m"}
+
+        def contains(self, key):
+            return False
+
+    class Session:
+        conf = Conf()
+        sparkContext = type("C", (), {"master": "spark://host:7077", "getConf": lambda self: Conf()})()
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        storage.shared_folder(Session())
+
+
 def groups_of(rows, up=80, down=100, shingle=5):
     sets = []
     for r in rows:
