@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import columnar as C
-from .storage import fresh_path, read_files, write_blobs, written
+from .storage import discard, fresh_path, read_files, write_blobs, written
 
 #: Payloads below this size are never revisits.
 LEAST_REVISIT = 100
@@ -247,7 +247,8 @@ def convert(spark: SparkSession, arc: str, warc: str) -> None:
 
     Only digests and identifiers are grouped; the files themselves move as they are, packed.
     """
-    again = revisits(written(read_arc_files(spark, arc), "arc-records"))
+    light = written(read_arc_files(spark, arc), "arc-records")
+    again = revisits(light)
     by_file = again.groupBy(F.col("file").alias("path")).agg(F.collect_list(F.struct("number", "record", "id", "url", "date")).alias("to"))
     joined = read_files(spark, arc).join(by_file, "path", "left").select("content", "to")
 
@@ -265,6 +266,7 @@ def convert(spark: SparkSession, arc: str, warc: str) -> None:
             yield pa.RecordBatch.from_arrays([pa.array([b"".join(out)], pa.binary())], names=["blob"])
 
     write_members(joined.mapInArrow(run, "blob binary"), warc, maxRecordsPerFile=str(FILE_BLOBS))
+    discard(light)
 
 
 def read_warc(content: bytes):
@@ -316,4 +318,5 @@ def archive_round_trip(pages: DataFrame, *, key: str = "page_id", url: str = "ur
     arc, warc = fresh_path(spark, "arc"), fresh_path(spark, "warc")
     write_arc(pages, arc, key=key, url=url, html=html)
     convert(spark, arc, warc)
+    discard(arc)
     return read_warc_files(spark, warc)
