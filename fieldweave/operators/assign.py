@@ -132,6 +132,11 @@ def _topped(scores: DataFrame, k: int) -> DataFrame:
     return scores.withColumn("best", F.slice("best", 1, k)) if "best" in scores.columns else top_k(scores, k)
 
 
+def ranked_best(top: DataFrame) -> DataFrame:
+    """id, anchor_id, rank, score: one row for each of the best anchors."""
+    return top.select("id", F.posexplode("best").alias("rank", "b")).select("id", F.col("b.anchor_id").alias("anchor_id"), (F.col("rank") + 1).alias("rank"), F.col("b.score").alias("score"))
+
+
 def quantile(df: DataFrame, value: str, q: float, by: str | None = None) -> DataFrame:
     """(by,) n, cut: the interpolated quantile of the values, of each group's where ``by`` is given.
 

@@ -230,6 +230,15 @@ f AS (SELECT *, CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END AS f1 FR
 ORACLES["rouge_l"] = _LCS + "SELECT p_partkey, round(p, 6) AS p, round(r, 6) AS r, round(f1, 6) AS f1 FROM f"
 
 
+#: Greedy matching: the best pair whose ends are both free, one after the other.
+ORACLES["fuzzy_match"] = """WITH RECURSIVE t AS (SELECT a.p_partkey AS k, string_split(a.p_name, ' ') AS p, string_split(b.p_name, ' ') AS g FROM part AS a JOIN part AS b ON a.p_partkey + 1 = b.p_partkey),
+x AS (SELECT k, v, i FROM (SELECT k, p, unnest(p) AS v, unnest(range(len(p))) AS i FROM t) AS x WHERE list_position(p, v) = i + 1), y AS (SELECT k, v, j FROM (SELECT k, g, unnest(g) AS v, unnest(range(len(g))) AS j FROM t) AS y WHERE list_position(g, v) = j + 1),
+m AS (SELECT x.k, i, j, 1 - levenshtein(x.v, y.v) / greatest(length(x.v), length(y.v), 1) AS sim FROM x JOIN y ON x.k = y.k WHERE 1 - levenshtein(x.v, y.v) / greatest(length(x.v), length(y.v), 1) >= 0.5),
+pick AS (SELECT k, 0 AS n, 0.0::DOUBLE AS sims, []::BIGINT[] AS ui, []::BIGINT[] AS uj FROM t
+UNION ALL SELECT k, n + 1, sims + sim, list_append(ui, i), list_append(uj, j) FROM (SELECT pick.k, n, sims, ui, uj, arg_max(m.i, round(sim, 9) * 1e12 + i * 1e3 + j) AS i, arg_max(m.j, round(sim, 9) * 1e12 + i * 1e3 + j) AS j, max(sim) AS sim FROM pick JOIN m ON m.k = pick.k WHERE NOT list_contains(ui, m.i) AND NOT list_contains(uj, m.j) GROUP BY pick.k, n, sims, ui, uj) AS s)
+SELECT k AS p_partkey, max(n)::INTEGER AS n, round(max(sims), 6) AS sims FROM pick GROUP BY k"""
+
+
 @query(_LCS + "SELECT 'name' AS field, count(*) AS support, round(avg(p), 6) AS rougeL_p, round(avg(r), 6) AS rougeL_r, round(avg(f1), 6) AS rougeL_f1, 'free-text' AS type FROM f")
 def freetext_metrics(spark, sf_dir):
     a = table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("p"))

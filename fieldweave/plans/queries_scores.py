@@ -66,15 +66,15 @@ def cosine_pairs(spark, sf_dir):
     return scores(spark, sf_dir).select("id", "anchor_id", F.round("score", 6).alias("score"))
 
 
-@query(_SCORES + f"SELECT id, winner AS winner_goal_id, {named('winner')} AS winner_goal_label, round(top1, 6) AS top1, round(top2, 6) AS top2, round(margin, 6) AS margin FROM top")
+@query(_SCORES + f"SELECT id, winner AS winner_goal_id, {named('winner')} AS winner_goal_label, round(top1, 6) AS top1, round(top2, 6) AS top2, round(margin, 6) AS margin, 'embeddings' AS source FROM top")
 def top1_margin(spark, sf_dir):
     top = best(spark, sf_dir, 2)
-    return assign.with_label(top.withColumnRenamed("winner", "winner_goal_id"), names(spark, sf_dir), "winner_goal_id", "anchor_id").select("id", "winner_goal_id", F.col("label").alias("winner_goal_label"), *[F.round(c, 6).alias(c) for c in ("top1", "top2", "margin")])
+    return assign.with_label(top.withColumnRenamed("winner", "winner_goal_id"), names(spark, sf_dir), "winner_goal_id", "anchor_id").select("id", "winner_goal_id", F.col("label").alias("winner_goal_label"), *[F.round(c, 6).alias(c) for c in ("top1", "top2", "margin")], F.lit("embeddings").alias("source"))
 
 
 @query(_SCORES + "SELECT id, anchor_id, rank::INTEGER AS rank, round(score, 6) AS score FROM ranked WHERE rank <= 3")
 def ranked_anchors(spark, sf_dir):
-    return assign.ranked(scores(spark, sf_dir)).where("rank <= 3").select("id", "anchor_id", "rank", F.round("score", 6).alias("score"))
+    return assign.ranked_best(best(spark, sf_dir, 3)).withColumn("score", F.round("score", 6))
 
 
 def _assigned_sql(cut: str, extra: str) -> str:
