@@ -185,8 +185,8 @@ def test_kd_tree_against_plain_splits(spark, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     seen, real = [], kd_shards._grow
     monkeypatch.setattr(kd_shards, "_grow", lambda points, *rest: seen.append(points) or real(points, *rest))
-    monkeypatch.setattr(kd_shards, "BINS", 4)
-    for shards in (2, 7, 40):
+    monkeypatch.setattr(kd_shards, "BINS", 64)
+    for shards in (2, 11):
         got = {r["doc_id"]: r["shard"] for r in kd_shards.kd_shards(df, shards=shards, tolerance=0).collect()}
         points = [(r["key"], r["size"], [r[f"c{d}"] for d in range(3)]) for r in seen[-1].collect()]
         order = [sorted(points, key=lambda p: p[2][d]) for d in range(3)]
@@ -202,8 +202,8 @@ def test_kd_sees_whole_strings_and_splits_equal_rows(spark):
     same = spark.range(1000).selectExpr("cast(null as long) as doc_id", "'x' as text", "'a' as source", "cast(1 as long) as n_chars", "current_date() as lang")
     counts = [r["count"] for r in kd_shards.kd_shards(same, shards=8).groupBy("shard").count().collect()]
     assert sorted(counts) == [125] * 8
-    many = kd_shards.kd_shards(df, target_bytes=64)
-    assert many.groupBy("shard").count().agg(F.max("count"), F.count("*")).first()[0] <= 5
+    many = kd_shards.kd_shards(df, target_bytes=2048)
+    assert many.groupBy("shard").count().agg(F.max("count"), F.count("*")).first()[0] <= 125
 
 
 @pytest.fixture(scope="module")
