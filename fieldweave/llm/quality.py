@@ -7,8 +7,9 @@ n-grams of log p(target) - log p(raw).  The threshold is fixed by the trusted ro
 held out of the target counts: at most ``HELD_OUT_LOSS`` of them score below it.
 Every document is then kept or rejected by comparison, nothing is drawn at random.
 
-Counts cover all documents; only the trusted ids are bounded (``TRAIN_ROWS``, those
-with the smallest hash), so that they can be broadcast.
+Counts cover all documents and all trusted rows.  Trusted ids are broadcast in blocks of
+``TRUSTED_BLOCK``, counted beforehand; each block takes one scan of the documents, and the
+blocks' counts are added up, so the result doesn't depend on them.
 
 Defined results: null and empty texts have no words and fail the base rules; without
 trusted rows there is no threshold and the base rules alone decide; repeated rows are
@@ -28,8 +29,8 @@ from . import columnar as C
 from .storage import discard, prepared, schema_with, written
 
 BUCKETS = 1 << 16
-#: Trusted rows used at most, by the smallest hash of their id.
-TRAIN_ROWS = 200_000
+#: Trusted ids that are broadcast at once, about.
+TRUSTED_BLOCK = 1_000_000
 #: Share of held-out trusted rows that the threshold may reject.
 HELD_OUT_LOSS = 0.005
 #: Added to every bucket's count.
@@ -90,29 +91,34 @@ def _grams(words: C.Words, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _trusted(labels: DataFrame, key: str) -> DataFrame:
-    """key, held_out of at most TRAIN_ROWS trusted rows."""
+    """key, held_out of all trusted rows."""
     good = labels.where(F.col(key).isNotNull()).groupBy(key).agg(F.min("quality").alias("q"), F.max(F.coalesce("toxic", F.lit(0))).alias("t")).where("q = 1 and t = 0")
-    return good.select(key, F.xxhash64(key).alias("h")).orderBy("h", key).limit(TRAIN_ROWS).select(key, (F.pmod("h", F.lit(2)) == 1).alias("held_out"))
+    return good.select(key, (F.pmod(F.xxhash64(key), F.lit(2)) == 1).alias("held_out"))
 
 
-def _count(docs: DataFrame, text: str) -> np.ndarray:
-    """(raw, target) counts by bucket; ``fit`` marks the target's rows.  BUCKETS rows reach the driver."""
+def _blocks(rows: DataFrame, ids: DataFrame, key: str) -> list[DataFrame]:
+    """The rows of the given ids, a table for each block of about TRUSTED_BLOCK ids; they are broadcast."""
+    parts = max(1, -(-ids.count() // TRUSTED_BLOCK))
+    block = F.pmod(F.shiftright(F.xxhash64(key), 1), F.lit(parts))
+    return [rows.join(F.broadcast(ids.where(block == i).select(key)), key, "left_semi") for i in range(parts)]
+
+
+def _count(tables: list[DataFrame], text: str) -> np.ndarray:
+    """Counts by bucket over all the tables.  BUCKETS rows of each reach the driver."""
 
     def run(batches):
-        total = np.zeros((2, BUCKETS), dtype=np.int64)
+        total = np.zeros(BUCKETS, dtype=np.int64)
         for batch in C.slices(batches, text):
-            data, offsets = C.text_buffer(batch.column(batch.schema.get_field_index(text)))
-            fit = np.asarray(batch.column(batch.schema.get_field_index("__fit")).to_numpy(zero_copy_only=False), dtype=bool)
+            data, offsets = C.text_buffer(batch.column(0))
             words = C.Words(data, offsets, C.VISIBLE)
-            row, bucket = _grams(words, words.hashes())
-            total[0] += np.bincount(bucket, minlength=BUCKETS)
-            total[1] += np.bincount(bucket[fit[row]], minlength=BUCKETS)
-        at = np.flatnonzero(total[0])
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[0][at]), pa.array(total[1][at])], names=["bucket", "raw", "target"])
-
-    out = np.zeros((2, BUCKETS), dtype=np.int64)
-    for r in docs.select(text, "__fit").mapInArrow(run, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).collect():
-        out[:, r["bucket"]] = r["raw"], r["target"]
+            total += np.bincount(_grams(words, words.hashes())[1], minlength=BUCKETS)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["bucket", "n"])
+
+    out = np.zeros(BUCKETS, dtype=np.int64)
+    for docs in tables:
+        for r in docs.select(text).mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
+            out[r["bucket"]] += r["n"]
     return out
 
 
@@ -142,9 +148,9 @@ def _failed(found: dict[str, np.ndarray]) -> np.ndarray:
     return (found["n_words"] < MIN_WORDS) | (100 * found["n_repeat_words"] > 50 * found["n_words"])
 
 
-def _threshold(held: DataFrame, text: str, ratio: np.ndarray) -> float:
-    """The highest cell edge below which at most HELD_OUT_LOSS of the held-out rows lie; CELLS rows reach the driver."""
-    shared = held.sparkSession.sparkContext.broadcast(ratio)
+def _threshold(held: list[DataFrame], text: str, ratio: np.ndarray) -> float:
+    """The highest cell edge below which at most HELD_OUT_LOSS of the held-out rows of all tables lie; CELLS rows of each reach the driver."""
+    shared = held[0].sparkSession.sparkContext.broadcast(ratio)
 
     def run(batches):
         for batch in C.slices(batches, text):
@@ -154,8 +160,9 @@ def _threshold(held: DataFrame, text: str, ratio: np.ndarray) -> float:
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n)], names=["cell", "n"])
 
     counts = np.zeros(CELLS, dtype=np.int64)
-    for r in held.select(text).mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
-        counts[r["cell"]] = r["n"]
+    for docs in held:
+        for r in docs.select(text).mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
+            counts[r["cell"]] += r["n"]
     if not counts.sum():
         return -math.inf
     below = np.concatenate([[0], np.cumsum(counts)])
@@ -164,13 +171,12 @@ def _threshold(held: DataFrame, text: str, ratio: np.ndarray) -> float:
 
 
 def fitted(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text") -> tuple[np.ndarray, float]:
-    """(log ratio of each bucket, threshold), from counts over all documents."""
+    """(log ratio of each bucket, threshold), from counts over all documents and all trusted rows."""
     prepared(docs.sparkSession)
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     trusted = written(_trusted(labels.select(F.col(key).alias("key"), "quality", "toxic"), "key"), "trusted")
-    marked = rows.join(F.broadcast(trusted), "key", "left").select("text", (~F.coalesce("held_out", F.lit(True))).alias("__fit"))
-    ratio = log_ratio(*_count(marked, "text"))
-    threshold = _threshold(rows.join(F.broadcast(trusted.where("held_out")), "key"), "text", ratio)
+    ratio = log_ratio(_count([rows], "text"), _count(_blocks(rows, trusted.where("not held_out"), "key"), "text"))
+    threshold = _threshold(_blocks(rows, trusted.where("held_out"), "key"), "text", ratio)
     discard(trusted)
     return ratio, threshold
 

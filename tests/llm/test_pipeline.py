@@ -96,6 +96,16 @@ def test_verdict_of_the_quality_rules(spark, tables):
     assert not kept & set(range(60, 90)) and len(kept & set(range(60))) >= 58
 
 
+def test_all_trusted_rows_count(spark, tables, monkeypatch):
+    many = spark.range(200_050).selectExpr("id as doc_id", "1 as quality", "0 as toxic")
+    assert quality._trusted(many, "doc_id").count() == 200_050
+    docs, labels = (spark.read.parquet(f"{tables}/{n}.parquet") for n in ("documents", "labels"))
+    whole = bag(quality.quality(docs, labels).collect())
+    monkeypatch.setattr(quality, "TRUSTED_BLOCK", 7)
+    assert len(quality._blocks(docs, labels, "doc_id")) == 11
+    assert bag(quality.quality(docs, labels).collect()) == whole
+
+
 def plain_first(rows):
     # Documents without a key are told apart here by their place.
     label, key = groups_of([(-(2**62) + i if r[0] is None else r[0], *r[1:]) for i, r in enumerate(rows)], shingle=5)
