@@ -16,7 +16,8 @@ of the corpus, overlaps and the same document included.
    are joined back to all places of a fragment.  Every mark comes from an index.
 4. The fragments of a name with over ``HOT`` of them, too many for a block, are named and
    cut anew by their longer grams (``GRAMS[1]``, at last ``WIDTH`` itself, when equal names
-   are equal windows) and go through the same steps.
+   are equal windows) and go through the same steps.  They are cut where the documents are:
+   their places are broadcast, ``CUT_BLOCK`` at once, so no text is shuffled for them.
 5. The marked windows' bytes are cut from the documents.
 
 Defined results: null and empty texts, and texts under ``WIDTH`` bytes, lose nothing;
@@ -26,6 +27,7 @@ null key is allowed; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 
 import numpy as np
@@ -48,6 +50,8 @@ BLOCK_BYTES = 1 << 20
 GATHER = 1 << 17
 #: Different fragments of a name in one block at most.
 HOT = 4096
+#: Places of too frequent fragments that are broadcast at once, about.
+CUT_BLOCK = 500_000
 
 
 def sliding_minimum(x: np.ndarray, width: int) -> np.ndarray:
@@ -158,10 +162,10 @@ def _repeats(rows: DataFrame, width: int, gram: int) -> DataFrame:
     return found.where("copies > 1 or kinds > 1 or inner").select("k", "c", "lo", "more", "n", "h", "f", (F.col("copies") > 1).alias("twice"), (F.col("rn") == 1).alias("indexed"), "kinds")
 
 
-def _cut_out(rows: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """h, f, twice and the bytes of the wanted fragments (one of each)."""
+def _cut_out(rows: DataFrame, wanted: DataFrame, width: int, hint: str = "shuffle_hash") -> DataFrame:
+    """h, f, twice and the bytes of the wanted fragments (one of each; by broadcast, one for each task that has the text)."""
     parts = wanted.groupBy("k", "c").agg(F.collect_list(F.struct("lo", "n", "h", "f", "twice")).alias("parts"))
-    joined = rows.select("k", "c", "text").join(parts.hint("shuffle_hash"), ["k", "c"]).select("k", "c", "text", "parts")
+    joined = rows.select("k", "c", "text").join(parts.hint(hint), ["k", "c"]).select("k", "c", "text", "parts")
 
     def run(batches):
         seen: set[tuple[int, int]] = set()
@@ -214,6 +218,18 @@ def _indexed(cut: DataFrame, width: int, shards: int) -> DataFrame:
     return dealt.select("shard", "h", "f", "twice", "fragment").groupBy("shard").applyInArrow(run, "h long, f long, start int, end int")
 
 
+def _hot_pieces(rows: DataFrame, wanted: DataFrame, number: int, width: int) -> DataFrame:
+    """The wanted fragments (so many) as rows k (name), c (identity), text, times; a scan of the texts for each block of CUT_BLOCK."""
+    blocks = -(-number // CUT_BLOCK)
+    block = F.pmod(F.xxhash64("k", "c"), F.lit(blocks))
+    out = []
+    for i in range(blocks):
+        cut = _cut_out(rows, wanted.where(block == i), width, "broadcast").dropDuplicates(["h", "f"])
+        cut = cut.select(F.col("h").alias("k"), F.col("f").alias("c"), F.col("fragment").alias("text"), F.when(F.col("twice"), 2).otherwise(1).alias("times"))
+        out.append(written(cut, "hot-fragments"))
+    return functools.reduce(DataFrame.unionByName, out)
+
+
 def _spans(rows: DataFrame, width: int, grams: tuple[int, ...], hot: int, block_bytes: int) -> DataFrame:
     """k, c, start, end (any order, overlapping) of the repeated bytes of rows (k, c, text, times)."""
     repeats = written(_repeats(rows, width, grams[0]), "repeats")
@@ -222,9 +238,7 @@ def _spans(rows: DataFrame, width: int, grams: tuple[int, ...], hot: int, block_
     size = wanted.agg(F.sum(F.when(fits, F.col("n") + (width - 1))).alias("bytes"), F.count(F.when(~fits, 1)).alias("hot")).first()
     marked = _indexed(_cut_out(rows, wanted.where(fits), width), width, max(1, -(-int(size["bytes"] or 0) // block_bytes)))
     if size["hot"]:
-        pieces = _cut_out(rows, wanted.where(~fits), width)
-        pieces = written(pieces.select(F.col("h").alias("k"), F.col("f").alias("c"), F.col("fragment").alias("text"), F.when(F.col("twice"), 2).otherwise(1).alias("times")), "hot-fragments")
-        finer = _spans(pieces, width, grams[1:], hot, block_bytes)
+        finer = _spans(_hot_pieces(rows, wanted.where(~fits), size["hot"], width), width, grams[1:], hot, block_bytes)
         marked = marked.unionByName(finer.withColumnsRenamed({"k": "h", "c": "f"}))
     found = repeats.select("k", "c", "lo", "more", "h", "f").join(marked, ["h", "f"])
     places = F.concat(F.array(F.struct("k", "c", "lo")), F.coalesce("more", F.array().cast(repeats.schema["more"].dataType)))

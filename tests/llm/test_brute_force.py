@@ -97,6 +97,24 @@ def test_suffix_dedup(spark, docs, rows, none, monkeypatch, hot, gather):
     assert left == collections.Counter((str(r[0]), r[1] if kept is None else kept, r[4] if kept is None else len(kept)) for r, kept in zip(rows, cuts))
 
 
+def test_hot_fragments_are_cut_without_a_shuffle_of_texts(spark, docs, rows, monkeypatch):
+    docs = spark.createDataFrame([*rows, rows[3], rows[3]], SCHEMA).repartition(3)
+    options = {"width": 60, "grams": (16, 40), "block_bytes": 4096}
+    whole = as_bag(suffix_dedup.digests(docs, **options))
+    plans, write = [], suffix_dedup.written
+
+    def noted(df, name):
+        if name == "hot-fragments":
+            plans.append(df._jdf.queryExecution().toString())
+        return write(df, name)
+
+    monkeypatch.setattr(suffix_dedup, "written", noted)
+    monkeypatch.setattr(suffix_dedup, "CUT_BLOCK", 10, raising=False)
+    assert as_bag(suffix_dedup.digests(docs, hot=1, **options)) == whole
+    assert not any("ShuffledHashJoin" in p or "SortMergeJoin" in p for p in plans)
+    assert len(plans) > 2
+
+
 def test_run_index_compresses_repeats():
     from fieldweave.llm.run_index import RunIndex
 
