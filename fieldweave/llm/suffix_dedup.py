@@ -59,12 +59,11 @@ def sliding_minimum(x: np.ndarray, width: int) -> np.ndarray:
     n = len(x) - width + 1
     if n <= 0:
         return x[:0]
-    padded = np.full(-(-len(x) // width) * width, np.iinfo(x.dtype).max, dtype=x.dtype)
-    padded[: len(x)] = x
-    rows = padded.reshape(-1, width)
-    ahead = np.minimum.accumulate(rows, axis=1).ravel()
-    back = np.minimum.accumulate(rows[:, ::-1], axis=1)[:, ::-1].ravel()
-    return np.minimum(back[:n], ahead[width - 1 : width - 1 + n])
+    have = 1  # values that each minimum covers so far
+    while 2 * have <= width:
+        x = np.minimum(x[:-have], x[have:])
+        have *= 2
+    return np.minimum(x[:n], x[width - have :][:n])
 
 
 def fragments(data: np.ndarray, offsets: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, ...]:

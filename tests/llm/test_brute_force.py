@@ -138,6 +138,48 @@ def test_run_index_compresses_repeats():
         assert [bool(long[b + i]) for i in range(len(p) - 199)] == [seen[p[i : i + 200]] > 1 for i in range(len(p) - 199)]
 
 
+def test_run_index_steps_without_search(monkeypatch):
+    from fieldweave.llm.run_index import RunIndex
+
+    rng = random.Random(2)
+    pieces = [bytes(rng.randrange(97, 100) for _ in range(500)) for _ in range(30)]
+    index = RunIndex(pieces, 12)
+    searched, search = [], np.searchsorted
+
+    def noted(a, v, *args, **kwargs):
+        searched.append(np.size(v))
+        return search(a, v, *args, **kwargs)
+
+    monkeypatch.setattr(np, "searchsorted", noted)
+    long = index.long_matches()
+    assert sum(searched) <= 500  # steps, not letters (15,000)
+    seen = collections.Counter(p[i : i + 12] for p in pieces for i in range(len(p) - 11))
+    for b, p in zip(index.begin, pieces):
+        assert [bool(long[b + i]) for i in range(len(p) - 11)] == [seen[p[i : i + 12]] > 1 for i in range(len(p) - 11)]
+
+
+def test_suffix_order_and_prefixes():
+    from fieldweave.llm.run_index import common_prefix, packed, suffix_array
+
+    rng = random.Random(3)
+    for letters, size in ((1, 60), (2, 300), (257, 300)):
+        text = [rng.randrange(257 - letters, 257) for _ in range(size // 2)]
+        text += [0, *text[: size // 3], 0]
+        keys = packed(np.array(text, dtype=np.int16))
+        assert suffix_array(keys).tolist() == sorted(range(len(text)), key=lambda i: text[i:])
+        a, b = (np.array(x) for x in zip(*[(i, j) for i in range(-1, len(text), 3) for j in range(len(text)) if i != j]))
+        for most in (1, 7, 20):
+            want = [0 if i < 0 else next((k for k in range(most) if text[i + k : i + k + 1] != text[j + k : j + k + 1]), most) for i, j in zip(a, b)]
+            assert common_prefix(keys, a, b, most).tolist() == want
+
+
+@pytest.mark.parametrize("width", [1, 2, 7, 8, 153])
+def test_sliding_minimum(width):
+    x = np.random.default_rng(4).integers(0, 1 << 63, 400, dtype=np.uint64)
+    for size in (0, width - 1, width, 400):
+        assert suffix_dedup.sliding_minimum(x[:size], width).tolist() == [min(x[i : i + width].tolist()) for i in range(size - width + 1)]
+
+
 def test_quality_base(spark, docs, rows, none):
     labels = spark.createDataFrame([(i, 1, 0) for i in range(20, 34)] + [(20, None, None), (None, 1, 0)], "doc_id long, quality int, toxic int")
     got = {str(r["doc_id"]): r for r in quality.quality(docs, labels).collect()}
