@@ -71,6 +71,30 @@ def test_linkage_against_plain_search():
     assert {frozenset(g) for g in groups} == {frozenset(np.flatnonzero(labels == c).tolist()) for c in range(5)}
 
 
+@pytest.mark.parametrize("task", [True, False])
+def test_linkage_and_density_of_many(spark, monkeypatch, task):
+    """Lists of few nearest points, searched again when they are used up, give the labels of all pairs."""
+    for name, value in (("NEAR", 3), ("ROWS", 16), ("COLUMNS", 32), ("AT_DRIVER", 0 if task else 10**9)):
+        monkeypatch.setattr(cluster, name, value)
+    rng = np.random.default_rng(8)
+    x = np.concatenate([c + rng.normal(0, 0.25, (25, 5)) for c in np.eye(5)[:4]] + [rng.uniform(-1, 1, (12, 5))])
+    x = np.concatenate([x, x[:7], x[:3]])  # copies
+    merges, plain = cluster.linkage_of_many(spark, x), cluster.average_linkage(x)
+    assert len(merges) == len(x) - 1 and np.allclose([m[2] for m in merges], [m[2] for m in plain])
+    assert all((cluster.cut(merges, len(x), k) == cluster.cut(plain, len(x), k)).all() for k in (2, 5, 12, 40))
+    for m in (2, 5, 9):
+        found = cluster.condensed(cluster.tree_of_many(spark, x, m), len(x), m)
+        assert (found == cluster.density_labels(x, m)).all()
+
+
+def test_clusters_past_one_task(spark):
+    rng = np.random.default_rng(9)
+    x = np.concatenate([c + rng.normal(0, 0.1, (15, 4)) for c in np.eye(4)])
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id long, v array<double>")
+    for f in (lambda most: cluster.super_anchors(df, key="id", vec="v", kmin=2, kmax=8, most=most), lambda most: cluster.density_clusters(df, key="id", vec="v", min_cluster_size=5, most=most)):
+        assert f(20).schema == f(100).schema and sorted(map(tuple, f(20).collect())) == sorted(map(tuple, f(100).collect()))
+
+
 def test_goal_defaults_accept_all(spark):
     scores = spark.createDataFrame([(1, "a", 0, 0.01), (1, "b", 1, 0.01), (2, "a", 0, 0.5), (2, "b", 1, 0.1)], "id int, anchor_id string, idx int, score double")
     rows = {r["id"]: r for r in assign.classify_goals(scores).collect()}
