@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -41,36 +43,71 @@ def parse_yesno(c: Column, drop_ignored: bool = False) -> Column:
 
 def sim_ratio(a: Column, b: Column) -> Column:
     """1 - edit distance / longer length, of normalised texts (two empty ones: 1)."""
-    x, y = norm_text(a), norm_text(b)
+    return _ratio(norm_text(a), norm_text(b))
+
+
+def _ratio(x: Column, y: Column) -> Column:
     return 1 - F.levenshtein(x, y) / F.greatest(F.length(x), F.length(y), F.lit(1))
 
 
-def rouge_l(pred: Column, gold: Column) -> Column:
-    """struct(p, r, f1) from the longest common subsequence of blank-separated normalised tokens."""
-    a = F.filter(F.split(norm_text(pred), " "), lambda t: t != "")
-    b = F.filter(F.split(norm_text(gold), " "), lambda t: t != "")
-    zero = F.array_repeat(F.lit(0), F.size(b) + 1)
+def bound(f: Callable[..., Column], *columns: Column) -> Column:
+    """f of columns that are computed once a row, however often f's lambdas name them."""
+    names = [f"c{i}" for i in range(len(columns))]
+    row = F.array(F.struct(*[c.alias(n) for c, n in zip(columns, names, strict=True)]))
+    return F.get(F.transform(row, lambda s: f(*[s[n] for n in names])), F.lit(0))
+
+
+#: Tokens of a side up to which a row of the subsequence table is one number.
+_BITS = 60
+
+
+def _common(a: Column, b: Column) -> Column:
+    """Length of the longest common subsequence of two arrays."""
+    one, zero = F.lit(1).cast("long"), F.lit(0).cast("long")
+
+    def bits(token: Column) -> Column:
+        return F.aggregate(F.transform(b, lambda t, j: F.when(t == token, F.call_function("shiftleft", one, j)).otherwise(zero)), zero, lambda s, x: s.bitwiseOR(x))
+
+    def step(v: Column, whole: Column, hit: Column) -> Column:
+        return (v + v.bitwiseAND(hit)).bitwiseOR(v - v.bitwiseAND(hit)).bitwiseAND(whole)
+
+    def short(whole: Column) -> Column:  # a bit is cleared where the row of the table rises
+        left = F.aggregate(F.transform(a, bits), whole, lambda v, hit: step(v, whole, hit))
+        return F.size(b) - F.bit_count(left)
 
     def row(previous: Column, token: Column) -> Column:
-        cells = F.aggregate(
+        return F.aggregate(
             F.sequence(F.lit(1), F.greatest(F.size(b), F.lit(1))),
             F.array(F.lit(0)),
             lambda done, j: F.concat(done, F.array(F.when(F.get(b, j - 1) == token, F.get(previous, j - 1) + 1).otherwise(F.greatest(F.get(previous, j), F.get(done, j - 1))))),
         )
-        return F.when(F.size(b) == 0, previous).otherwise(cells)
 
-    lcs = F.element_at(F.aggregate(a, zero, row), -1)
-    p = F.when(F.size(a) > 0, lcs / F.size(a)).otherwise(0.0)
-    r = F.when(F.size(b) > 0, lcs / F.size(b)).otherwise(0.0)
-    return F.struct(p.alias("p"), r.alias("r"), F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0).alias("f1"))
+    long = F.element_at(F.aggregate(a, F.array_repeat(F.lit(0), F.size(b) + 1), row), -1)
+    return F.when(F.size(b) <= _BITS, bound(short, F.call_function("shiftleft", one, F.size(b)) - 1)).otherwise(long)
+
+
+def rouge_l(pred: Column, gold: Column) -> Column:
+    """struct(p, r, f1) from the longest common subsequence of blank-separated normalised tokens."""
+    words = lambda c: F.filter(F.split(norm_text(c), " "), lambda t: t != "")
+
+    def rates(lcs: Column, n: Column, m: Column) -> Column:
+        p = F.when(n > 0, lcs / n).otherwise(0.0)
+        r = F.when(m > 0, lcs / m).otherwise(0.0)
+        return F.struct(p.alias("p"), r.alias("r"), F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0).alias("f1"))
+
+    return bound(lambda a, b: bound(rates, _common(a, b), F.size(a), F.size(b)), words(pred), words(gold))
 
 
 def greedy_pairs(pred: Column, gold: Column, threshold: float = 0.85) -> Column:
     """One-to-one matches of two string arrays, by falling (similarity, place in pred, place in gold), at ``threshold`` or more."""
-    scored = F.flatten(F.transform(pred, lambda p, i: F.transform(gold, lambda g, j: F.struct(sim_ratio(p, g).alias("sim"), i.alias("i"), j.alias("j")))))
-    ranked = F.reverse(F.array_sort(F.filter(scored, lambda s: s["sim"] >= threshold)))
-    empty = F.filter(scored, lambda s: F.lit(False))
-    return F.aggregate(ranked, empty, lambda used, s: F.when(F.exists(used, lambda u: (u["i"] == s["i"]) | (u["j"] == s["j"])), used).otherwise(F.concat(used, F.array(s))))
+
+    def matched(ps: Column, gs: Column) -> Column:
+        scored = F.flatten(F.transform(ps, lambda p, i: F.transform(gs, lambda g, j: F.struct(_ratio(p, g).alias("sim"), i.alias("i"), j.alias("j")))))
+        ranked = F.reverse(F.array_sort(F.filter(scored, lambda s: s["sim"] >= threshold)))
+        empty = F.array().cast("array<struct<sim:double,i:int,j:int>>")
+        return F.aggregate(ranked, empty, lambda used, s: F.when(F.exists(used, lambda u: (u["i"] == s["i"]) | (u["j"] == s["j"])), used).otherwise(F.concat(used, F.array(s))))
+
+    return bound(matched, F.transform(pred, norm_text), F.transform(gold, norm_text))
 
 
 def strip_fences(c: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+
 _END = "struct<id:string,type:string,typeId:string>"
 _LINK = f"struct<refId:string,referenceType:string,target:{_END},source:{_END}>"
 SCHEMA = f"links struct<`from`:array<{_LINK}>,`to`:array<{_LINK}>>"
@@ -19,13 +21,13 @@ def normalize_type(end: Column) -> Column:
 
 def _sides(cell: Column) -> Column:
     """All links of a cell with their direction, ``from`` before ``to``; empty for bad cells."""
-    parsed = F.from_json(F.coalesce(cell, F.lit("")), SCHEMA)["links"]
     none = F.array().cast(f"array<struct<dir:string,l:{_LINK}>>")
 
-    def tagged(d: str) -> Column:
-        return F.coalesce(F.transform(parsed[d], lambda x: F.struct(F.lit(d).alias("dir"), x.alias("l"))), none)
+    def tagged(parsed: Column, d: str) -> Column:
+        return F.coalesce(F.transform(parsed["links"][d], lambda x: F.struct(F.lit(d).alias("dir"), x.alias("l"))), none)
 
-    return F.concat(tagged("from"), tagged("to"))
+    # Parsed once for both sides.
+    return T.bound(lambda parsed: F.concat(tagged(parsed, "from"), tagged(parsed, "to")), F.from_json(F.coalesce(cell, F.lit("")), SCHEMA))
 
 
 def _joined(values: Column, dedup: bool) -> Column:

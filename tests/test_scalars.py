@@ -1,5 +1,7 @@
 """Scalar semantics on hand-computed cases."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -81,3 +83,20 @@ def test_last_wins_and_renames(spark):
     df = spark.createDataFrame([(" a ", 1), ("a", 2), ("", 3), (None, 4)], "id string, n int")
     assert [tuple(r) for r in evaluate.last_wins(df, "id", "n").collect()] == [("a", 2)]
     assert evaluate.parse_renames("a:b, c ,d:e:f") == {"a": "b", "d": "e:f"}
+
+
+def test_sides_are_computed_once_a_row(spark):
+    """Long and short sides give the subsequence of a plain table; normalising and parsing stand outside the loops over their results."""
+    rng = random.Random(4)
+    rows = [(" ".join(rng.choice("abcdef") for _ in range(n)), " ".join(rng.choice("abcdeg") for _ in range(m))) for n, m in [(0, 0), (0, 3), (3, 0), (7, 5), (40, 59), (30, 60), (60, 61), (80, 75), (5, 70)] for _ in range(3)]
+    df = spark.createDataFrame(rows, "p string, g string")
+    for r in df.select("p", "g", T.rouge_l(F.col("p"), F.col("g")).alias("s")).collect():
+        a, b = r["p"].split(), r["g"].split()
+        t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                t[i + 1][j + 1] = t[i][j] + 1 if x == y else max(t[i][j + 1], t[i + 1][j])
+        assert (r["s"]["p"], r["s"]["r"]) == (t[-1][-1] / len(a) if a else 0.0, t[-1][-1] / len(b) if b else 0.0)
+    pairs = T.greedy_pairs(T.split_multivalue(F.col("p")), T.split_multivalue(F.col("g")))
+    for c, word, most in ((T.rouge_l(F.col("p"), F.col("g")), "split(", 2), (pairs, "split(", 2), (links._sides(F.col("p")), "from_json(", 1)):
+        assert df.select(c.alias("c"))._jdf.queryExecution().analyzed().toString().count(word) == most
