@@ -5,6 +5,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources import files
+
+#: Bytes of the tables read, a task of ``distinct``.
+TASK_BYTES = 4_000_000
+
+
+def distinct(df: DataFrame) -> DataFrame:
+    """The distinct rows; with much input they are dealt to as many tasks as its size asks for, and kept in no table before.
+
+    Tasks are else joined by the size of their compressed rows; long texts with much in
+    common take a multiple of it, and a task's memory grew with the input.
+    """
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    parts = min(-(-size // TASK_BYTES), 5000)
+    if parts <= max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 8):
+        return df.distinct()
+    return df.repartition(parts, *[F.col(f"`{c}`") for c in df.columns]).distinct()
+
 
 def disjunctive_join(left: DataFrame, right: DataFrame, keys: list[tuple[Column, str]], how: str = "inner") -> DataFrame:
     """Rows of left matched with right where any (left expression = right column) holds, each pair once.
@@ -18,6 +37,9 @@ def disjunctive_join(left: DataFrame, right: DataFrame, keys: list[tuple[Column,
     for expression, column in keys:
         by_column.setdefault(column, []).append(expression)
     numbered = left.withColumn("_row", F.monotonically_increasing_id())
+    if how == "left":  # read twice, with the same numbers
+        spark, whole = left.sparkSession, numbered
+        numbered = files.built(spark, files.scratch(spark, "left"), lambda: whole)
     tagged = F.array_distinct(F.filter(F.array(*[F.struct(F.lit(c).alias("c"), e.cast("string").alias("v")) for c, es in by_column.items() for e in es]), lambda s: s["v"].isNotNull()))
     probes = numbered.select("*", (F.explode_outer if how == "left" else F.explode)(tagged).alias("_k"))
     out = None

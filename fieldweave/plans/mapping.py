@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import iri_safe
+from ..operators.joins import distinct
 
 RR = "http://www.w3.org/ns/r2rml#"
 RDF_TYPE = "http://www.w3.org/1999/02/22-rdf-syntax-ns#type"
@@ -363,7 +364,7 @@ def compile_mapping(spark: SparkSession, maps: list[TriplesMap], tables: dict[st
         part = _of_table(table, members, maps)
         if part is not None:
             out = part if out is None else out.unionByName(part)
-    return out.select(*QUAD).dropDuplicates()
+    return distinct(out.select(*QUAD))
 
 
 def turtle(quads: DataFrame, keep: list[str] | None = None) -> DataFrame:

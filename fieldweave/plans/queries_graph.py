@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import links, trees
-from ..operators.joins import disjunctive_join
+from ..operators.joins import disjunctive_join, distinct
 from .mapping import PredicateObject, Term, TriplesMap, compile_mapping, read_mapping
 from .queries_scores import table
 
@@ -124,13 +124,14 @@ def _tables(spark, sf_dir):
         F.sha2(F.trim(F.lower("n_name")), 256).alias("project_hash"),
     )
     datasets = supplier.select(F.col("s_suppkey").cast("string").alias("id"), F.when(F.col("s_suppkey") % 4 != 0, F.col("s_name")).alias("title"), F.when(F.col("s_suppkey") % 5 == 0, F.col("s_name")).alias("project_hash"), F.when(F.col("s_suppkey") % 7 == 0, F.col("s_name")).alias("projects_core_hash"))
-    lines = table(spark, sf_dir, "lineitem")
-    forward = (F.col("l_linenumber") % 2) == 1
-    a, b = (F.lit("Publication"), ((F.col("l_partkey") % 400) + 1).cast("string")), (F.lit("Dataset"), F.col("l_suppkey").cast("string"))
+    # Numbers give the same texts where they are equal, and only there.
+    lines = distinct(table(spark, sf_dir, "lineitem").select(((F.col("l_linenumber") % 2) == 1).alias("forward"), ((F.col("l_partkey") % 400) + 1).alias("publication"), "l_suppkey", "l_returnflag"))
+    forward = F.col("forward")
+    a, b = (F.lit("Publication"), F.col("publication").cast("string")), (F.lit("Dataset"), F.col("l_suppkey").cast("string"))
     rows = lines.select(
         F.when(forward, a[0]).otherwise(b[0]).alias("links_source_types"), F.when(forward, a[1]).otherwise(b[1]).alias("links_source_ids"), F.col("l_returnflag").alias("links_reference_types"),
         F.when(forward, b[0]).otherwise(a[0]).alias("links_target_types"), F.when(forward, b[1]).otherwise(a[1]).alias("links_target_ids"),
-    ).distinct()
+    )
     return {"be_publication_metadata": publications, "be_dataset_metadata": datasets, "be_links": rows}
 
 
@@ -266,7 +267,7 @@ def _compound(spark, sf_dir):
     end = lambda kind: [(F.when(F.col(f"links_{s}_types") == kind, F.col(f"links_{s}_ids")), "id") for s in ("source", "target")]
     publications = t["be_publication_metadata"].select("id")
     linked = disjunctive_join(t["be_links"], publications, end("Publication")).withColumnRenamed("id", "pub_id")
-    return disjunctive_join(linked, t["be_dataset_metadata"].select("id", "project_hash", "projects_core_hash"), end("Dataset"), how="left").distinct()
+    return distinct(disjunctive_join(linked, t["be_dataset_metadata"].select("id", "project_hash", "projects_core_hash"), end("Dataset"), how="left"))
 
 
 @query(_SQL + _COMPOUND)

@@ -123,3 +123,18 @@ def test_sources(spark, tmp_path):
     assert [tuple(r) for r in files.read_catalogue(spark, str(c)).collect()] == [("k", "d", "a; b")]
     sinks.write_csv(df, str(tmp_path / "out"), ["text", "none"], blank=True)
     assert files.read_csv(spark, str(tmp_path / "out")).columns == ["text", "none"]
+
+
+def test_distinct_spreads_with_the_input(spark, monkeypatch, tmp_path):
+    """Much input is dealt to tasks by its size before any table of rows is kept; a left join's row numbers are read from one table."""
+    from fieldweave.operators import joins
+
+    spark.range(3000).selectExpr("id % 700 as a", "if(id % 3 = 0, null, 'x') as b").write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    plain = joins.distinct(df)
+    monkeypatch.setattr(joins, "TASK_BYTES", 100)
+    spread = joins.distinct(df)
+    assert "RepartitionByExpression" in spread._jdf.queryExecution().optimizedPlan().toString() and "Repartition" not in plain._jdf.queryExecution().optimizedPlan().toString()
+    assert spread.rdd.getNumPartitions() > 8 and sorted(map(str, spread.collect())) == sorted(map(str, df.distinct().collect()))
+    joined = disjunctive_join(df, spark.createDataFrame([(5, "m")], "k long, m string"), [(F.col("a"), "k")], "left")
+    assert joined.count() == 3000 and "monotonically_increasing_id" not in joined._jdf.queryExecution().optimizedPlan().toString()
